@@ -110,8 +110,9 @@ def mix_report(docs: DataFrame, *, weights=(3, 1, 2), share=1.5, most=2.0, block
     """doc_id, size, source_size, target, taken for every row of docs(doc_id, text, source)."""
     rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("_source"), words(F.col("text")).alias("size"))
     placed, pieces, slots = plan(rows, ["doc_id", "size"], list(weights), share, most, block, shard, seed)
+    # exploded slots look tiny to the planner, which would broadcast them: their joins ask for a merge
     takes = slots.groupBy("sidx", "block").agg(F.count("*").alias("times"))
-    taken = pieces.select("sidx", "offset", "block", "length").join(takes, ["sidx", "block"]).groupBy("sidx", "offset").agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
+    taken = pieces.select("sidx", "offset", "block", "length").join(takes.hint("merge"), ["sidx", "block"]).groupBy("sidx", "offset").agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
     # an offset belongs to one row of positive size; empty rows take nothing
     full = placed.where("size > 0").join(taken, ["sidx", "offset"], "left")
     empty = placed.where("size = 0").withColumn("taken", F.lit(None).cast("long"))
@@ -129,9 +130,9 @@ def mix_documents(docs: DataFrame, *, weights=(3, 1, 2), share=1.5, most=2.0, bl
     keyed = docs.withColumns({"_k1": F.xxhash64(*columns), "_k2": F.xxhash64(F.lit(5), *columns)})
     rows = keyed.select("_k1", "_k2", F.col("doc_id"), F.col("source").cast("string").alias("_source"), words(F.col("text")).alias("size"))
     _, pieces, slots = plan(rows, ["doc_id", "_k1", "_k2"], list(weights), share, most, block, shard, seed)
-    took = pieces.select("_k1", "_k2", "sidx", "offset", "size", "block", "start", "length").join(slots, ["sidx", "block"])
+    took = pieces.select("_k1", "_k2", "sidx", "offset", "size", "block", "start", "length").join(slots.hint("merge"), ["sidx", "block"])
     spans = took.groupBy("_k1", "_k2", "offset", "epoch", "size").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"), F.sum("length").alias("got"))
-    texts = keyed.dropDuplicates(["_k1", "_k2"]).join(spans, ["_k1", "_k2"])
+    texts = keyed.dropDuplicates(["_k1", "_k2"]).join(spans.hint("merge"), ["_k1", "_k2"])
     parts = F.regexp_extract_all("text", F.lit(WORD_AND_SPACE), F.lit(0))
     partly = F.transform("spans", lambda s: F.array_join(F.slice(parts, (s["start"] + 1).cast("int"), s["length"].cast("int")), ""))
     text = F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(F.array_join(partly, ""))
