@@ -116,4 +116,5 @@ def count_documents(docs: DataFrame, *, vocabulary: str | None = None, separator
     """doc_id, n_tokens of every row of docs, counted in the flat files that flatten() writes."""
     blocks, owners = flatten(docs, vocabulary=vocabulary, separator=separator, block_tokens=block_tokens)
     counts = count_tokens(blocks, separator=separator)
-    return owners.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # both sides are exploded arrays, which look tiny to the planner: ask for a merge, not a broadcast
+    return owners.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
