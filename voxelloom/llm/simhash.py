@@ -99,7 +99,7 @@ def links(fps: DataFrame, bits: int = 4, short: int = 16, block: int = 1024) ->
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     index = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])).alias("key"))
     lists = written(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    met = written(index.join(lists, "key"))
+    met = written(index.hint("merge").join(lists, "key"))  # the exploded index looks small to the planner
 
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     tally = sum(F.when(F.shiftright(differ, 8 * p).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for p in range(8))
