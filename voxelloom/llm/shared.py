@@ -6,6 +6,7 @@ Nothing here gathers documents, links or components on the driver.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +30,25 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_written(spark: SparkSession) -> None:
+    """Delete what this application has written; results read from it must have been saved before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def running_offset(df: DataFrame, group: list[str], weight: Column, order: list[str], buckets: int, out: str) -> DataFrame:
     """Add `out`, the sum of `weight` over the earlier rows of the group.
 
@@ -74,6 +89,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 _ENCODERS: dict[str, object] = {}
+#: Runs of white space from this length on go to the slower library: the faster one's stack ends at some hundred thousand.
+LONG_SPACE = re.compile(r"(?<!\s)\s{4096}")
 
 
 def default_vocabulary(name: str) -> str:
@@ -87,13 +104,15 @@ def byte_bpe(path: str):
 
     The rank file beside it holds the same vocabulary and its library is four times as fast,
     so ids come from that one; only the special token's text, which the JSON file maps to one
-    id, is cut out beforehand. A test holds both libraries against each other.
+    id, is cut out beforehand. A test holds both libraries against each other. Texts with very
+    long runs of white space come from `tokenizers` itself.
     """
     if path not in _ENCODERS:
         import base64
 
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
         ranks = {}
         with open(path.rsplit(".", 1)[0] + ".tiktoken", "rb") as f:
@@ -104,6 +123,10 @@ def byte_bpe(path: str):
         special, special_id = "<|endoftext|>", len(ranks)
 
         def encode(text: str, specials: bool = True) -> list[int]:
+            if LONG_SPACE.search(text):
+                slow = Tokenizer.from_file(path)
+                slow.encode_special_tokens = not specials
+                return slow.encode(text, add_special_tokens=False).ids
             if not specials or special not in text:
                 return plain(text)
             ids: list[int] = []
