@@ -9,7 +9,9 @@ so that an entity has one label throughout a document. Nodes of base spans are o
 
 A group of similar tokens is linked through one hidden node instead of all its pairs, so work
 is linear in the text. The potentials are log odds of smoothed counts over all documents: of
-labels per token shape, of equal labels within groups, and of equal labels along the chain.
+labels per token shape, of equal labels within groups, and of equal labels along the chain. A
+token without a base span is unlabelled, not known to be clean, so groups count only pairs of
+observed labels, and no shape speaks against a label by more than UNSEEN.
 
 Defined cases: null text is empty; a document without base spans has nothing to spread and gets
 none; repeated rows each get a row; no rows give no rows; extra columns are ignored by `scan`.
@@ -32,14 +34,15 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match cannot begin inside a run of digits, nor end inside one; saying so keeps long runs linear.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 EDGE = "\"'()[]{}<>,;:!?#*$&."
 NOT_DIGIT = re.compile(r"[^0-9]+")
-ROUNDS, DAMPING, OBSERVED = 8, 0.3, 30.0
+ROUNDS, DAMPING, OBSERVED, UNSEEN = 8, 0.3, 30.0, 2.5
 
 
 def luhn(digits: str) -> bool:
@@ -133,13 +136,13 @@ def potentials(counts: dict[tuple[str, str], int]) -> dict:
             name, _, label = what.rpartition("|")
             shapes.setdefault(name, np.full(5, 0.5))[int(label)] += n
 
-    def odds(kind: str) -> float:
-        same, other = counts.get((kind, "same"), 0) + 1.0, counts.get((kind, "other"), 0) + 1.0
+    def odds(kind: str, prior: float) -> float:
+        same, other = counts.get((kind, "same"), 0) + prior, counts.get((kind, "other"), 0) + 1.0
         return min(4.0, max(0.5, math.log(same / other)))
 
     # unobserved tokens are the rule, so no shape alone outweighs "none": labels come from links
-    unary = {s: np.minimum(np.log(v / v.sum()) - math.log(v[0] / v.sum()), -1.0) * (np.arange(5) > 0) for s, v in shapes.items()}
-    return {"unary": unary, "skip": odds("skip"), "chain": min(1.0, odds("chain"))}
+    unary = {s: np.clip(np.log(v) - math.log(v[0]), -UNSEEN, -1.0) * (np.arange(5) > 0) for s, v in shapes.items()}
+    return {"unary": unary, "skip": odds("skip", 50.0), "chain": min(1.0, odds("chain", 1.0))}
 
 
 def _message(belief: np.ndarray, weight: float) -> np.ndarray:
@@ -153,7 +156,7 @@ def _message(belief: np.ndarray, weight: float) -> np.ndarray:
 def infer(nodes: Nodes, model: dict) -> np.ndarray:
     """The most probable label of each node by loopy sum-product passing."""
     n = len(nodes.spans)
-    rare = np.array([0.0, -3.0, -3.0, -3.0, -3.0])
+    rare = np.array([0.0, *[-UNSEEN] * 4])
     unary = np.stack([model["unary"].get(shape(t), rare) for t in nodes.tokens])
     seen = nodes.label > 0
     unary[seen] = -OBSERVED
@@ -225,9 +228,10 @@ def count_features(docs: DataFrame) -> DataFrame:
                 counts["chain", "same"] += same
                 counts["chain", "other"] += len(nodes.chain) - same
                 for g in nodes.groups:
-                    common = int((y[g[1:]] == y[g[0]]).sum())
+                    known = y[g][y[g] > 0]
+                    common = int((known[1:] == known[:1]).sum())
                     counts["skip", "same"] += common
-                    counts["skip", "other"] += len(g) - 1 - common
+                    counts["skip", "other"] += max(0, len(known) - 1 - common)
         rows = [(k, w, n) for (k, w), n in counts.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "what", "n"])
 
