@@ -4,8 +4,10 @@ Pieces are those of a fixed public vocabulary. Each language has a probability f
 a word's likelihood is the sum over all its segmentations into pieces, by the forward
 algorithm, and a text's is the product over its words. The probabilities come from expectation
 maximisation on word counts of a bounded sample of labelled documents: at most `fit_docs` whole
-documents a language, those with the smallest hash. Counting and the expectation steps run on
-the executors; the driver sees one count per language and piece.
+documents a language, those with the smallest hash. A filter on the hash, from the number of
+documents of a language, leaves about four times as many before they are ranked, so no task
+meets all documents of a language. Counting and the expectation steps run on the executors; the
+driver sees one count per language and piece.
 
 Single characters stay possible through an unknown piece. Words are lower-cased; a run of more
 than RUN characters is scored in parts of that length.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from voxelloom.llm.shared import default_vocabulary, written
+from voxelloom.llm.shared import default_vocabulary, fresh, written
 
 RUN, BASE = 24, np.uint64(0x9E3779B97F4A7C15)
 LETTER = re.compile(r"[^\W\d_]")
@@ -188,8 +190,10 @@ def chunks(texts: list[str | None], size: int = 2_000_000) -> Iterator[tuple[int
 def fit(labelled: DataFrame, *, vocabulary: str | None = None, fit_docs: int = 300, rounds: int = 2, smooth: float = 0.1) -> UnigramModel:
     """Learn from labelled(doc_id, text, lang), of which at most fit_docs rows a language count."""
     pieces = vocabulary_pieces(vocabulary or default_vocabulary("piece_bpe_32k.model"))
-    by_hash = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
-    sample = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string")).withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= fit_docs)
+    rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string"), (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("h"))
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("size")))
+    near = rows.join(sizes, "lang").where(F.col("h") * F.col("size") < 4 * fit_docs).groupBy("doc_id", "lang", "h").agg(F.min("text").alias("text"))
+    sample = near.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= fit_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -224,9 +228,9 @@ def fit(labelled: DataFrame, *, vocabulary: str | None = None, fit_docs: int = 3
     return UnigramModel(langs, [model.pieces[i] for i in seen], model.probs[[*seen, -1]])
 
 
-def predict(docs: DataFrame, model: UnigramModel) -> DataFrame:
-    """docs with lang_pred and score added, which come from the text alone."""
-    out = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(docs: DataFrame, model: UnigramModel, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with two columns added, which come from the text alone."""
+    out = T.StructType([*docs.schema, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +242,7 @@ def predict(docs: DataFrame, model: UnigramModel) -> DataFrame:
                 p, s = model.score_texts(texts[lo:hi])
                 preds += p
                 scores += s.tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang, score])
 
     return docs.mapInArrow(run, out)
 
@@ -258,4 +262,5 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """The rows of docs with a language: not `und`, and a posterior of at least `least`."""
     model = fit(docs.where(~F.coalesce(held_out(), F.lit(True))), **options)
-    return predict(docs, model).where(F.col("lang_pred") != "und").where(F.col("score") >= least).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    return predict(docs, model, lang, score).where(F.col(lang) != "und").where(F.col(score) >= least).drop(lang, score)
