@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from voxelloom.functions.columns import let
 from voxelloom.llm.shared import buckets_for, running_offset, written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -127,15 +128,16 @@ def mix_documents(docs: DataFrame, *, weights=(3, 1, 2), share=1.5, most=2.0, bl
     words take no part.
     """
     columns = docs.columns
-    keyed = docs.withColumns({"_k1": F.xxhash64(*columns), "_k2": F.xxhash64(F.lit(5), *columns)})
-    rows = keyed.select("_k1", "_k2", F.col("doc_id"), F.col("source").cast("string").alias("_source"), words(F.col("text")).alias("size"))
+    one = {c: F.col(f"`{c}`") for c in columns}
+    whole = [F.to_json(F.struct(one[c])) if "map<" in kind else one[c] for c, kind in docs.dtypes]  # maps have no hash
+    keyed = docs.select(F.struct(*[v.alias(c) for c, v in one.items()]).alias("_row"), F.xxhash64(*whole).alias("_k1"), F.xxhash64(F.lit(5), *whole).alias("_k2"))
+    rows = keyed.select("_k1", "_k2", F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").cast("string").alias("_source"), words(F.col("_row.text")).alias("size"))
     _, pieces, slots = plan(rows, ["doc_id", "_k1", "_k2"], list(weights), share, most, block, shard, seed)
     took = pieces.select("_k1", "_k2", "sidx", "offset", "size", "block", "start", "length").join(slots.hint("merge"), ["sidx", "block"])
     spans = took.groupBy("_k1", "_k2", "offset", "epoch", "size").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"), F.sum("length").alias("got"))
     texts = keyed.dropDuplicates(["_k1", "_k2"]).join(spans.hint("merge"), ["_k1", "_k2"])
-    parts = F.regexp_extract_all("text", F.lit(WORD_AND_SPACE), F.lit(0))
-    partly = F.transform("spans", lambda s: F.array_join(F.slice(parts, (s["start"] + 1).cast("int"), s["length"].cast("int")), ""))
-    text = F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(F.array_join(partly, ""))
-    made = {"text": text} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in columns else {})
-    out = texts.withColumn("text", made.pop("text"))
-    return (out.withColumns(made) if made else out).select(*columns)
+    parts = F.regexp_extract_all("_row.text", F.lit(WORD_AND_SPACE), F.lit(0))
+    partly = let(parts, lambda p: F.array_join(F.transform("spans", lambda s: F.array_join(F.slice(p, (s["start"] + 1).cast("int"), s["length"].cast("int")), "")), ""))
+    out = texts.select("_row", F.when(F.col("got") == F.col("size"), F.col("_row.text")).otherwise(partly).alias("_text"))
+    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*[made.get(c, F.col("_row").getField(c)).alias(c) for c in columns])
