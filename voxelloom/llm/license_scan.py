@@ -56,8 +56,8 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 class TemplateIndex:
-    def __init__(self, templates: dict[str, str], gram: int = 3, window: int = 2):
-        self.gram, self.window, self.names = gram, window, list(templates)
+    def __init__(self, templates: dict[str, str], gram: int = 3, window: int = 2, widest: int = 8):
+        self.gram, self.window, self.names, self.widest = gram, window, list(templates), widest
         tokens = [WORD.findall(t.lower()) for t in templates.values()]
         self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for t in tokens for w in t}))}
         self.ids = [np.array([self.vocab[w] for w in t], np.int64) for t in tokens]
@@ -80,6 +80,10 @@ class TemplateIndex:
                 h ^= h >> np.uint64(29)
         return h, np.arange(n)
 
+    def band(self, k: int) -> int:
+        """Diagonals to each side that one match may use: too few to reach the next of two adjacent matches."""
+        return min(self.widest, (len(self.ids[k]) - 1) // 2)
+
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """(template, diagonal) pairs; diagonal: place in the text less place in the template.
 
@@ -91,7 +95,7 @@ class TemplateIndex:
         votes = sorted({(k, int(places[i]) - p) for i in np.flatnonzero(self.known[at] == grams) for k, p in self.index[int(grams[i])]})
         out: list[tuple[int, int]] = []
         for k, d in votes:
-            if not out or out[-1][0] != k or d - out[-1][1] > 8:
+            if not out or out[-1][0] != k or d - out[-1][1] > self.band(k):
                 out.append((k, d))
         return out
 
@@ -126,7 +130,7 @@ class TemplateIndex:
                 c -= 1
         return matched, first, last
 
-    def matches(self, text: str | None, least: float, band: int = 8) -> list[tuple[str, float, int, int, int]]:
+    def matches(self, text: str | None, least: float) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched tokens, start, end) of every match with enough coverage."""
         text = text or ""
         lower = text.lower()
@@ -137,6 +141,7 @@ class TemplateIndex:
         ids = np.fromiter((get(lower[a:b], 0) for a, b in spans), np.int64, len(spans))
         found = []
         for k, diagonal in self.candidates(ids) if len(ids) >= self.gram else []:
+            band = self.band(k)
             lo = max(0, diagonal - band)
             hi = min(len(ids), diagonal + len(self.ids[k]) + band)
             matched, first, last = self.align(ids[lo:hi], k, diagonal - lo, band)
