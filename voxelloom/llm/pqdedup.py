@@ -34,7 +34,7 @@ from voxelloom.llm.mtree import usable
 from voxelloom.llm.shared import connected_components, written
 from voxelloom.llm.simhash import spanning_labels
 
-CODED = "uid long, label int, list int, role int, code binary, err double, vec binary"
+CODED = "uid long, label long, list int, role int, code binary, err double, vec binary"
 
 
 def k_means(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -154,7 +154,7 @@ def count_links(vectors: DataFrame, *, threshold: float, fit_rows: int, list_row
 
 def embedding_dedup(vectors: DataFrame, *, threshold: float = 0.98, fit_rows: int = 8192, list_rows: int = 1024, block: int = 512) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding, label)."""
-    rows = written(vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), F.col("embedding").cast("array<double>")).withColumn("uid", F.monotonically_increasing_id()))
+    rows = written(vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>")).withColumn("uid", F.monotonically_increasing_id()))
     nonzero = F.exists("embedding", lambda x: x != 0)
     taking = rows.where(F.coalesce(usable() & nonzero & F.col("label").isNotNull(), F.lit(False)))
     found = written(count_links(taking, threshold=threshold, fit_rows=fit_rows, list_rows=list_rows, block=block))
