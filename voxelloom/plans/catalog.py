@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from voxelloom.functions import columns as C
 from voxelloom.functions.columns import dbl, rounded
+from voxelloom.functions.ranks import ranked
 from voxelloom.operators import masks, normalize, resample, volumes
 from voxelloom.session import ship
 
@@ -328,9 +329,8 @@ SELECT a.vec_id AS id_a, b.vec_id AS id_b FROM a JOIN b ON a.i % (SELECT count(*
 def pair_modulo(spark, d):
     """The longer domain meets the shorter one by rank modulo its size; ids only, a narrow table."""
     e = table(spark, d, "embeddings").select("vec_id")
-    rank = F.row_number().over(W.orderBy("vec_id")) - 1
-    a = e.where("vec_id % 2 = 0").withColumn("i", rank)
-    b = e.where("vec_id % 2 = 1 and vec_id % 3 = 0").withColumn("j", rank)
+    a = ranked(e.where("vec_id % 2 = 0"), ["vec_id"], "i")
+    b = ranked(e.where("vec_id % 2 = 1 and vec_id % 3 = 0"), ["vec_id"], "j")
     n = b.count()
     return a.join(b.withColumnRenamed("vec_id", "id_b"), F.col("i") % max(n, 1) == F.col("j")).select(F.col("vec_id").alias("id_a"), "id_b")
 
@@ -517,8 +517,8 @@ def split_counts(spark, d):
     ids = table(spark, d, "embeddings").select("vec_id")
     n = ids.count()
     val = F.least(F.greatest(F.lit(1), F.rint(F.lit(n) * dbl(0.2))), F.lit(n - 1))
-    ranked = ids.withColumn("r", F.row_number().over(W.orderBy(F.xxhash64(F.lit(42), "vec_id"), "vec_id")))
-    return ranked.agg(F.count("*").alias("n"), F.sum((F.col("r") <= val).cast("long")).alias("val"))
+    order = ranked(ids.withColumn("h", F.xxhash64(F.lit(42), "vec_id")), ["h", "vec_id"], "r")
+    return order.agg(F.count("*").alias("n"), F.sum((F.col("r") < val).cast("long")).alias("val"))
 
 
 @query(f"WITH {VOX} SELECT case_id, label, CAST(least(count(*), 5) AS BIGINT) AS n FROM (SELECT case_id, {LAB} AS label FROM vox) WHERE label > 0 GROUP BY 1, 2")
