@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 MIN_EDGE, MIN_BATCH, COVERED, ANISOTROPY = 4, 2, 0.05, 3.0
-REFERENCE = {2: (2048**2, 12, (2048, 2048)), 3: (128**3, 2, (256, 256, 256))}
+#: By dimensions: the voxels of a reference patch, its batch, and the most voxels of a patch.
+REFERENCE = {2: (2048**2, 12, 2048**2), 3: (256**3, 2, 256**3 // 4)}
 
 
 @dataclass
@@ -92,23 +93,30 @@ def pools(spacing, patch, most: int = 999) -> tuple[list[int], list[list[int]],
 
 
 def patch_and_batch(spacing, median_shape, cases: int) -> tuple[list[int], int]:
-    """A patch of equal extent in millimetres, shrunk to the reference volume, and a batch size."""
+    """A patch of equal extent in millimetres, shrunk until it fits, and a batch size.
+
+    The axis that covers most of the median shape shrinks, the last of equals, by its divisor
+    before and after pooling is settled anew; none goes below twice the least edge.
+    """
     dims = len(spacing)
-    volume, base_batch, start = REFERENCE[dims]
-    inverse = np.array([1 / s for s in spacing])
-    patch = [round(float(v)) for v in inverse * (math.prod(start) / np.prod(inverse)) ** (1 / dims)]
-    patch = [min(p, int(m)) for p, m in zip(patch, median_shape, strict=True)]
-    _, _, patch, divisors = pools(spacing, patch)
-    while math.prod(patch) > max(volume, 0):
-        axis = int(np.argmax([p / m for p, m in zip(patch, median_shape, strict=True)]))
-        if patch[axis] <= divisors[axis]:
+    volume, base_batch, fits = REFERENCE[dims]
+    inverse = [1 / s for s in spacing]
+    edge = (volume / math.prod(inverse)) ** (1 / dims)
+    patch = [min(round(v * edge), int(m)) for v, m in zip(inverse, median_shape, strict=True)]
+    patch, divisors = pools(spacing, patch)[2:]
+    while math.prod(patch) > fits:
+        axis = max(range(dims), key=lambda k: (patch[k] / median_shape[k], k))
+        less, by = list(patch), divisors
+        for _ in range(2):
+            less[axis] -= by[axis]
+            if less[axis] < 2 * MIN_EDGE:
+                break
+            by = pools(spacing, less)[3]
+        if less[axis] < 2 * MIN_EDGE:
             break
-        smaller = list(patch)
-        smaller[axis] -= divisors[axis]
-        _, _, _, by = pools(spacing, smaller)
-        patch[axis] = max(by[axis], math.ceil(smaller[axis] / by[axis]) * by[axis]) if smaller[axis] >= by[axis] else smaller[axis]
-        _, _, patch, divisors = pools(spacing, patch)
-    batch = min(round(volume / math.prod(patch) * base_batch), round(cases * COVERED * math.prod(median_shape) / math.prod(patch)))
+        patch, divisors = pools(spacing, less)[2:]
+    voxels = max(1, math.prod(patch))
+    batch = min(round(volume / voxels * base_batch), round(cases * math.prod(median_shape) * COVERED / voxels))
     return patch, max(batch, MIN_BATCH)
 
 
@@ -135,3 +143,86 @@ def check_request(task: str, stage: str, has_reference: bool) -> None:
         raise ValueError(f"{task} does not support {stage}")
     if (rule == "required") != has_reference:
         raise ValueError(f"a reference is {rule} for {task} in {stage}")
+
+
+def transpose_axes(spacing: list[float]) -> tuple[list[int], list[int]]:
+    """Coarsest axis first, and the permutation that undoes it."""
+    worst = int(np.argmax(spacing)) if len(spacing) == 3 else 0
+    forward = [worst, *(k for k in range(len(spacing)) if k != worst)]
+    return forward, [int(k) for k in np.argsort(forward)]
+
+
+SCHEME_NAMES = {"ct": "CTNormalization", "zscore": "ZScoreNormalization", "nonorm": "NoNormalization", "rescale_to_0_1": "RescaleTo01Normalization", "rgb_to_0_1": "RGBTo01Normalization"}
+
+
+def channel_names(dataset: dict | None, n: int) -> list[str]:
+    """The names that the data set description gives its channels, in numeric order; z-score without any."""
+    listed = (dataset or {}).get("channel_names") or (dataset or {}).get("modality")
+    if not listed:
+        return ["zscore"] * n
+    if len(listed) != n:
+        raise ValueError(f"{len(listed)} channel names for {n} channels")
+    return [listed[k] for k in sorted(listed, key=int)]
+
+
+def schemes(names: list[str]) -> list[str]:
+    return [SCHEME_NAMES.get(n.lower(), "ZScoreNormalization") for n in names]
+
+
+def configurations(spacing: list[float], median_shape: list[float], cases: int) -> dict[str, dict]:
+    """3d, and 2d over the last two axes: spacing, median shape, patch and batch."""
+    out = {}
+    for name, last in (("3d", len(spacing)), ("2d", 2)):
+        s, m = [float(v) for v in spacing[-last:]], [int(round(v)) for v in median_shape[-last:]]
+        patch, batch = patch_and_batch(s, m, cases)
+        out[name] = {"spacing": s, "median_shape": m, "patch_size": patch, "batch_size": batch}
+    return out
+
+
+def default_configuration(found: dict[str, dict]) -> str | None:
+    return next((n for n in ("3d", "2d", *found) if n in found), None)
+
+
+def merge_configurations(a: dict[str, dict], b: dict[str, dict]) -> dict[str, dict]:
+    """Those of both domains, with the smaller patch on each axis and the smaller batch."""
+    return {n: {**a[n], "patch_size": [min(p, q) for p, q in zip(a[n]["patch_size"], b[n]["patch_size"], strict=True)], "batch_size": min(a[n]["batch_size"], b[n]["batch_size"])} for n in a if n in b}
+
+
+def override_schemes(config: Config, method: str, lo: float | None = None, hi: float | None = None) -> Config:
+    """One scheme for every channel; only z-scores keep the mask, min-max needs both bounds."""
+    from dataclasses import replace
+
+    if method == "auto":
+        return config
+    scheme = {"minmax": "MinMaxClipNormalization", "min_max": "MinMaxClipNormalization", **SCHEME_NAMES}.get(method.lower())
+    if scheme is None:
+        raise ValueError(f"unknown normalisation {method!r}")
+    n, stats = len(config.schemes), config.stats
+    if scheme == "MinMaxClipNormalization":
+        if lo is None or hi is None or lo >= hi:
+            raise ValueError("min-max normalisation needs lo < hi")
+        stats = {str(k): {**stats.get(str(k), {}), "clip_min": lo, "clip_max": hi} for k in range(n)}
+    return replace(config, schemes=[scheme] * n, use_mask=config.use_mask if scheme == "ZScoreNormalization" else [False] * n, stats=stats)
+
+
+def config_from_json(text: str | dict, name: str | None = None) -> Config:
+    """A configuration, or one of a plans file: there `name` is required and parents are merged in."""
+    import json
+
+    raw = json.loads(text) if isinstance(text, str) else text
+    if ("configurations" in raw) != (name is not None):
+        raise ValueError("a configuration name goes with a plans file, and only with one")
+    if name is None:
+        return Config(raw["spacing"], raw["transpose_forward"], raw["normalization_schemes"], raw["use_mask_for_norm"], raw.get("foreground_intensity_properties_per_channel") or {}, Resampling(**raw.get("resampling", {})))
+    own = inherit(raw["configurations"], name)
+    data, seg = own.get("resampling_fn_data_kwargs", {}), own.get("resampling_fn_seg_kwargs", {})
+    r = Resampling(data.get("order", 3), data.get("order_z", 0), seg.get("order", 0), seg.get("order_z", 0), data.get("force_separate_z"))
+    return Config(own["spacing"], raw["transpose_forward"], own["normalization_schemes"], own["use_mask_for_norm"], raw.get("foreground_intensity_properties_per_channel") or {}, r)
+
+
+def config_to_json(config: Config) -> str:
+    import json
+    from dataclasses import asdict
+
+    c = config
+    return json.dumps({"spacing": c.spacing, "transpose_forward": c.transpose_forward, "normalization_schemes": c.schemes, "use_mask_for_norm": c.use_mask, "foreground_intensity_properties_per_channel": c.stats, "resampling": asdict(c.resampling)}, sort_keys=True)
