@@ -1,4 +1,4 @@
-"""Image files: NIfTI, MetaImage, NRRD and PNG, decoded and encoded without imaging libraries.
+"""Image files: NIfTI, MetaImage, NRRD, GIPL, TIFF, PNG and BMP, decoded and encoded without imaging libraries.
 
 Files are read by Spark (binaryFile, any store), decoded one per row in Arrow functions, and come
 out as typed volumes: shape and spacing in z, y, x order, float32 voxels in C order.
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelloom.sources.rasters import read_bmp, read_gipl, read_tiff
+
 VOLUME = "path string, shape array<int>, spacing array<double>, affine array<double>, data array<float>"
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 META_TYPES = {"MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_SHORT": "i2", "MET_USHORT": "u2", "MET_INT": "i4", "MET_UINT": "u4", "MET_FLOAT": "f4", "MET_DOUBLE": "f8"}
@@ -171,24 +173,24 @@ def _unfilter(kind: int, line: np.ndarray, up: np.ndarray, step: int) -> np.ndar
     return out.astype(np.uint8)
 
 
-DECODERS = {".nii.gz": read_nifti, ".nii": read_nifti, ".mha": read_meta, ".nrrd": read_nrrd, ".png": read_png}
+DECODERS = {".nii.gz": read_nifti, ".nii": read_nifti, ".mha": read_meta, ".nrrd": read_nrrd, ".png": read_png, ".gipl": read_gipl, ".tiff": read_tiff, ".tif": read_tiff, ".bmp": read_bmp}
 
 
-def decode(name: str, raw: bytes) -> tuple[np.ndarray, list[float], list[float]]:
+def decode(name: str, raw: bytes, to_ras: bool = False) -> tuple[np.ndarray, list[float], list[float]]:
     for ending, reader in DECODERS.items():
         if name.lower().endswith(ending):
-            return reader(raw)
+            return reader(raw, to_ras) if to_ras and reader is read_nifti else reader(raw)
     raise ValueError(f"no reader for {name}")
 
 
-def read_volumes(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
+def read_volumes(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False, to_ras: bool = False) -> DataFrame:
     """VOLUME rows of the image files in a folder; one file is in memory at a time."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                data, spacing, affine = decode(path, raw)
+                data, spacing, affine = decode(path, raw, to_ras)
                 yield pd.DataFrame({"path": [path], "shape": [list(data.shape)], "spacing": [spacing], "affine": [[float(a) for a in affine]], "data": [data.ravel()]})
 
     return files.select("path", "content").mapInPandas(run, VOLUME)

@@ -69,3 +69,41 @@ def violations(cases: DataFrame, shape: tuple[int, ...]) -> DataFrame:
 
 def all_close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     return F.abs(a - b) <= C.dbl(atol) + C.dbl(rtol) * F.abs(b)
+
+
+def case_key(name: Column) -> Column:
+    """The identifier of a file name, with or without a channel number."""
+    return F.coalesce(F.nullif(C.case_of(name), F.lit("")), C.strip_suffix(name))
+
+
+def load_cases(spark: SparkSession, folder: str, *, multi: bool = True, recursive: bool = False, to_ras: bool = False, reader: str | None = None) -> DataFrame:
+    """(case_id, shape, spacing, image) of a folder, its channel files stacked in order.
+
+    Decoding is one map per file; one shuffle by case brings the channels together. Channels
+    that are not 0 to n - 1, or differ in grid, are errors.
+    """
+    from voxelloom.sources.images import read_volumes
+
+    files = list_files(spark, folder, recursive)
+    bad = (contiguity_errors if multi else single_errors)(files).first()
+    if bad or files.first() is None:
+        raise ValueError(f"channels of case {bad.case_id} are not complete" if bad else f"no image files in {folder}")
+    v = read_volumes(spark, folder, "*", recursive, to_ras).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    rows = v.select(case_key(F.col("name")).alias("case_id"), F.coalesce(F.expr(f"try_cast(nullif({_sql_channel('name')}, '') as int)"), F.lit(0)).alias("channel"), "shape", "spacing", "data")
+    parts = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("channel", "shape", "spacing", "data"))).alias("c"))
+    first = F.col("c")[0]
+    same = F.forall("c", lambda c: (c["shape"] == first["shape"]) & F.forall(F.zip_with(c["spacing"], first["spacing"], lambda a, b: all_close(a, b)), lambda ok: ok))
+    shape = F.when(F.size(first["shape"]) == 4, F.concat(F.array((F.size("c") * F.element_at(first["shape"], 1)).cast("int")), F.slice(first["shape"], 2, 3))).otherwise(F.concat(F.array(F.size("c")), first["shape"]))
+    image = F.when(same, F.flatten(F.transform("c", lambda c: c["data"]))).otherwise(F.raise_error(F.concat(F.lit("channels differ in grid in case "), "case_id")))
+    return parts.select("case_id", shape.alias("shape"), first["spacing"].alias("spacing"), image.alias("image"))
+
+
+def matched(images: DataFrame, references: DataFrame, name: str = "reference") -> DataFrame:
+    """Image cases with their references; identifiers that only one side has are an error."""
+    left, right = images.select("case_id"), references.select("case_id")
+    if bad := mismatches(left, right, "case_id", "no image", f"no {name}").limit(10).collect():
+        raise ValueError("; ".join(f"{b.case_id}: {b.problem}" for b in bad))
+    side = references.select("case_id", F.col("image").alias(name), F.element_at("shape", 1).alias("ref_channels"), F.col("shape").alias("_s"))
+    both = images.join(side, "case_id")
+    fits = F.slice("shape", 2, 3) == F.slice("_s", 2, 3)
+    return both.withColumn(name, F.when(fits, F.col(name)).otherwise(F.raise_error(F.concat(F.lit("shapes differ in case "), "case_id")))).drop("_s")
