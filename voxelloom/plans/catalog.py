@@ -12,6 +12,7 @@ from voxelloom.functions import columns as C
 from voxelloom.functions.columns import dbl, rounded
 from voxelloom.functions.ranks import ranked
 from voxelloom.operators import masks, normalize, resample, volumes
+from voxelloom.plans.quantiles import exact_quantiles
 from voxelloom.session import ship
 
 SHAPE = (4, 4, 4)
@@ -97,9 +98,10 @@ def stats_sql(keys: str, source: str) -> str:
 @query(f"""WITH {VOX}, s AS (SELECT avg(v) AS m, stddev_pop(v) AS sd, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM vox)
 SELECT case_id, z, y, x, {R.format("(greatest(least(v, hi), lo) - m) / greatest(sd, 1e-8::DOUBLE)")} AS v FROM vox, s""")
 def norm_ct(spark, d):
-    p = F.percentile("v", F.array(dbl(0.005), dbl(0.995)))
-    s = cases(spark, d).select(F.explode("data").alias("v")).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), p.alias("p")).first()  # one row
-    stats = F.struct(*[dbl(v).alias(k) for k, v in (("mean", s["mean"] or 0), ("std", s["std"] or 0), ("lo", (s["p"] or [0, 0])[0]), ("hi", (s["p"] or [0, 0])[1]))])
+    values = cases(spark, d).select(F.lit(0).alias("pool"), F.explode("data").alias("v"))
+    s = values.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")).first()  # one row
+    lo, hi = exact_quantiles(values, "pool", "v", [0.005, 0.995]).get(0, (0.0, 0.0))
+    stats = F.struct(*[dbl(v or 0).alias(k) for k, v in (("mean", s["mean"]), ("std", s["std"]), ("lo", lo), ("hi", hi))])
     return changed(spark, d, lambda a: normalize.ct(a, stats))
 
 
@@ -133,14 +135,25 @@ def norm_inverse_minmax(spark, d):
     return changed(spark, d, lambda a: normalize.inverse_min_max(a, -0.2, 0.2))
 
 
+def pooled_stats(df: DataFrame, key: str) -> DataFrame:
+    """intensity_stats of groups that are few and large: their quantiles come from bounded histograms."""
+    q = exact_quantiles(df, key, "v", [0.005, 0.5, 0.995])
+    side = df.sparkSession.createDataFrame([(k, *v) for k, v in q.items()], f"_k {dict(df.dtypes)[key]}, p0 double, p1 double, p2 double")
+    out = df.groupBy(key).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    out = out.join(side, F.col(key).eqNullSafe(F.col("_k")), "left")
+    names = {"mean": "mean", "median": "p1", "std": "std", "min": "lo", "max": "hi", "percentile_00_5": "p0", "percentile_99_5": "p2"}
+    return out.select(key, "n", *[rounded(F.col(c)).alias(k) for k, c in names.items()])
+
+
 @query(f"WITH {VOX} {stats_sql('', 'vox')}")
 def fingerprint_stats(spark, d):
-    return intensity_stats(cases(spark, d).select(F.explode("data").alias("v")), [])
+    values = cases(spark, d).select(F.lit(0).alias("pool"), F.explode("data").alias("v"))
+    return pooled_stats(values, "pool").drop("pool")
 
 
 @query(stats_sql("channel", "(SELECT l_returnflag AS channel, CAST(l_quantity AS DOUBLE) AS v FROM lineitem)"))
 def fingerprint_lineitem(spark, d):
-    return intensity_stats(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("channel"), F.col("l_quantity").cast("double").alias("v")), ["channel"])
+    return pooled_stats(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("channel"), F.col("l_quantity").cast("double").alias("v")), "channel")
 
 
 @query(f"WITH {VOX} {stats_sql('case_id', '(SELECT * FROM vox WHERE v > 0.1::DOUBLE)')}")
