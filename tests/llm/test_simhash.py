@@ -88,6 +88,18 @@ def test_one_of_each_stays(docs, no_docs):
     assert simhash.keep_one_each(no_docs).count() == 0 and simhash.simhash_dedup(no_docs).count() == 0
 
 
+def test_one_of_each_component_stays_whatever_its_ids(spark):
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.getrandbits(40)) for _ in range(30)) for _ in range(12)]
+    assert all((brute_print(a) ^ brute_print(b)).bit_count() > 4 for a in texts for b in texts if a < b)
+    rows = [(None, t) for t in texts[:6]] * 2  # no id at all
+    rows += [(7, t) for t in texts[6:9]] * 2  # one id for all
+    rows += [(None, texts[9]), (3, texts[9]), (2, texts[9]), (2, texts[9]), (2, texts[10]), (2, None), (None, "")]
+    kept = simhash.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = [(None, t) for t in texts[:6]] + [(7, t) for t in texts[6:9]] + [(2, texts[9]), (2, texts[10]), (2, None)]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(200, 230)] + [(5, 5), (300, 299)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}

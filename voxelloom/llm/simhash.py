@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.llm.shared import connected_components, written
+from voxelloom.llm.shared import connected_components, fresh, written
 
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -128,11 +128,16 @@ def links(fps: DataFrame, bits: int = 4, short: int = 16, block: int = 1024) ->
     return found.unionByName(blocks).distinct()
 
 
-def components(prints: DataFrame, bits: int = 4) -> DataFrame:
-    """prints(doc_id, fp, ...) with component_id added."""
+def linked_prints(prints: DataFrame, bits: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(fp, first_doc) of every distinct fp, and (fp, first_doc, component) of those with a link."""
     fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
     groups = written(connected_components(links(fps, bits)))
-    linked = fps.join(groups, fps.fp == groups.node).select("fp", "first_doc", "component")
+    return fps, fps.join(groups, fps.fp == groups.node).select("fp", "first_doc", "component")
+
+
+def components(prints: DataFrame, bits: int = 4) -> DataFrame:
+    """prints(doc_id, fp, ...) with component_id added."""
+    fps, linked = linked_prints(prints, bits)
     heads = written(linked.groupBy("component").agg(F.min("first_doc").alias("component_id")))
     heads = written(linked.join(heads, "component").select("fp", "component_id"))
     every = written(fps.join(heads, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id")))
@@ -146,10 +151,23 @@ def simhash_dedup(docs: DataFrame, *, bits: int = 4, shingle: int = 4) -> DataFr
 
 
 def keep_one_each(docs: DataFrame, *, bits: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of docs that stay: of each component one row with its smallest doc_id.
+    """The rows of docs that stay: of each component one row with its smallest doc_id, nulls last.
 
-    Rows that repeat that doc_id, and the null ids of a component without any, are copies too.
+    A row is known by doc_id and fingerprint together: rows of other components stay, whether
+    they share that doc_id or have none. Rows equal in both are copies, of which any one stays.
     """
-    columns = docs.columns
-    heads = simhash_dedup(docs, bits=bits, shingle=shingle).where("doc_id is null and component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    return docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi").dropDuplicates(["doc_id"]).select(*columns)
+    fps, linked = linked_prints(written(fingerprints(docs, shingle)), bits)
+    first = F.min(F.struct(F.col("first_doc").isNull().alias("missing"), "first_doc", "fp")).alias("first")
+    heads = linked.groupBy("component").agg(first).select("first.first_doc", "first.fp")
+    alone = fps.join(linked, "fp", "left_anti").select("first_doc", "fp")
+    doc, fp, own = (fresh(docs, name) for name in ("_head", "_head_fp", "_fp"))
+    heads = written(heads.unionByName(alone)).toDF(doc, fp)
+
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+
+    # taken as not deterministic, or the planner would run it again in a filter below the join
+    rows = docs.withColumn(own, print_of.asNondeterministic()(F.col("text").cast("string")))
+    kept = rows.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(fp)), "left_semi")
+    return kept.dropDuplicates([own]).select(*docs.columns)
