@@ -97,6 +97,23 @@ def test_binary_rows_round_trip(docs, size):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("resume", [False, True])
+def test_positions_in_the_written_files(docs, tmp_path, resume):
+    import pyarrow.parquet as pq
+
+    binpack.write_binary(binpack.pack_binary(docs, size=64, resume=resume), str(tmp_path / "rows"))
+    files = sorted((tmp_path / "rows").glob("*.parquet"))
+    assert files and all(pq.read_metadata(f).row_group(0).column(0).compression == "UNCOMPRESSED" for f in files if pq.read_metadata(f).num_row_groups)
+    rows, continued = [r for f in files for r in pq.read_table(f).to_pylist()], 0
+    for r in rows:
+        want = []
+        for a, b, start in zip(r["cu_seqlens"], r["cu_seqlens"][1:], r["starts"], strict=False):
+            want += [start * resume + k for k in range(b - a)]
+            continued += start > 0
+        assert np.frombuffer(r["positions"], "<u4").tolist() == want + list(range(64 - r["n_tokens"]))
+    assert continued and sum(r["n_tokens"] for r in rows) == sum(len(slow_ids(r.text)) + 1 for r in docs.collect())
+
+
 def test_segment_tree_is_best_fit():
     rng = random.Random(8)
     for _ in range(50):

@@ -4,8 +4,9 @@ Whole texts become ids and an end id; a document longer than a row is split loss
 of a batch of bounded size go, longest first, into the row with the least sufficient room. A
 segment tree over room sizes holds which sizes have open rows, so each search takes the
 logarithm of the row length. Every row is one packed id array (little-endian unsigned 32 bits,
-padded to the row length), its cumulative segment lengths, and position ids that begin at 0 with
-each segment; a segment that continues a document goes on from its start there if `resume`.
+padded to the row length), its cumulative segment lengths, and position ids, packed likewise, that
+begin at 0 with each segment; a segment that continues a document goes on from its start there if
+`resume`.
 
 Batches are packed where they are read, without a shuffle; `pack` sizes them.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.llm.shared import byte_bpe, default_vocabulary
 
-ROWS = "shard int, row long, n_tokens int, ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
+ROWS = "shard int, row long, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
 
 
 class RoomTree:
@@ -83,8 +84,8 @@ def position_ids(cu_seqlens: list[int], starts: list[int], size: int, resume: bo
     return out
 
 
-def pack_binary(docs: DataFrame, *, vocabulary: str | None = None, size: int = 2048, end_id: int = 1, pad_id: int = 0, pack: int = 4_000_000) -> DataFrame:
-    """ROWS of docs(doc_id, text). pack: tokens that are packed together at least."""
+def pack_binary(docs: DataFrame, *, vocabulary: str | None = None, size: int = 2048, end_id: int = 1, pad_id: int = 0, pack: int = 4_000_000, resume: bool = False) -> DataFrame:
+    """ROWS of docs(doc_id, text). pack: tokens that are packed together at least. resume: see position_ids."""
     vocabulary = vocabulary or default_vocabulary("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,18 +98,20 @@ def pack_binary(docs: DataFrame, *, vocabulary: str | None = None, size: int = 2
         def flush() -> pa.RecordBatch:
             nonlocal row, held, pieces
             made = best_fit_decreasing([len(p[2]) for p in pieces], size)
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for members in made:
                 own = [pieces[k] for k in members]
                 cut = np.cumsum([0, *(len(p[2]) for p in own)])
                 ids = np.full(size, pad_id, "<u4")
                 ids[: cut[-1]] = np.concatenate([p[2] for p in own])
-                for c, v in zip(cols, (shard, row, int(cut[-1]), ids.tobytes(), cut.tolist(), [p[0] for p in own], [p[1] for p in own]), strict=True):
+                cut, starts = cut.tolist(), [p[1] for p in own]
+                positions = position_ids(cut, starts, size, resume).astype("<u4")
+                for c, v in zip(cols, (shard, row, cut[-1], ids.tobytes(), positions.tobytes(), cut, [p[0] for p in own], starts), strict=True):
                     c.append(v)
                 row += 1
             pieces, held = [], 0
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["shard", "row", "n_tokens", "ids", "cu_seqlens", "doc_ids", "starts"])
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["shard", "row", "n_tokens", "ids", "positions", "cu_seqlens", "doc_ids", "starts"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
