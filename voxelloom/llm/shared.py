@@ -35,6 +35,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, most: int = 4 << 20) -> None:
+    """Let the session's Arrow batches hold `most` bytes, unless it has set a size: a batch lies in Python twice or more."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key).rstrip("bB") == str(64 << 20):
+        conf.set(key, str(most))
+
+
 def discard_written(spark: SparkSession) -> None:
     """Delete what this application has written; results read from it must have been saved before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
