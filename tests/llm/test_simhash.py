@@ -75,9 +75,19 @@ def test_links_of_random_prints(spark, short, block):
 def test_position_sets_meet_any_agreement():
     import itertools
 
-    for size in (3, 4):
-        sets = [set(s) for s in simhash.position_sets(4, size)]
-        assert all(any(s <= set(four) for s in sets) for four in itertools.combinations(range(8), 4))
+    for agree in range(1, 9):
+        sets = [set(s) for s in simhash.position_sets(agree)]
+        assert all(any(s <= set(some) for s in sets) for some in itertools.combinations(range(8), agree))
+
+
+def test_shared_bytes_are_tallied():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 1 << 63, 30, dtype=np.uint64), rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    b[:10] = a[:10] ^ np.uint64(0x00FF00000000FF01)
+    want = [[sum(x == y for x, y in zip(int(i).to_bytes(8), int(j).to_bytes(8), strict=True)) for j in b] for i in a]
+    assert simhash.shared_bytes(a, b).tolist() == want and (np.diag(simhash.shared_bytes(a, b))[:10] == 5).all()
 
 
 def test_one_of_each_stays(docs, no_docs):
@@ -100,6 +110,13 @@ def test_one_of_each_component_stays_whatever_its_ids(spark):
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
 
 
+def test_extra_columns_of_any_name_stay(spark):
+    names = ["_head", "_head_fp", "_fp", "_uid", "head", "uid", "component", "fp", "node"]
+    docs = spark.createDataFrame([(k, "one two three four five", *range(9)) for k in (4, 2, 9)], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    kept = simhash.keep_one_each(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "one two three four five", *range(9))]
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(200, 230)] + [(5, 5), (300, 299)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}

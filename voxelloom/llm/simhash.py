@@ -1,19 +1,21 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-Fingerprints of at most `bits` differing bits agree in at least 8 - bits of their 8 bytes. The
-index lists fingerprints under the values of several byte positions at once: a family of
-position sets such that whichever `8 - bits` positions agree, one set of the family lies
-within them (Turan's triples for four of eight). Pairs that meet in a list have their equal
-positional bytes tallied, those with the guaranteed minimum are kept, and the differing bits
-are counted.
+Fingerprints of at most `bits` differing bits agree in at least 8 - bits of their 8 bytes. Lists
+under single byte values would hold a 256th of all rows each, so the index lists fingerprints
+under three byte positions at once: a family of position sets such that whichever `8 - bits`
+positions agree, one set of the family lies within them (Turan's triples for four of eight).
+A pair that meets in a list shares the list's bytes; the bytes shared at the other positions are
+added to that tally from the two postings, pairs that reach the guaranteed minimum of 8 - bits
+are kept, and only of those the differing bits are counted.
 
 Copies with equal fingerprints collapse first. Short lists are joined with themselves; a long
 list is cut into blocks and each pair of blocks becomes one task of its own, which returns
 links that span the same components as all of its links, never all pairs.
 
 Defined cases: null or wordless text has fingerprint 0 and links like any other; repeated rows
-each get a row; null doc_id counts as no id (component_id is null if a component has none);
-no rows give no rows; extra columns are ignored.
+each get a row; null doc_id counts as no id (component_id is null if a component has none); a
+very long text is hashed in parts; no rows give no rows; extra columns are ignored by
+`simhash_dedup` and kept, whatever their names, by `keep_one_each`.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from voxelloom.llm.shared import connected_components, fresh, written
+from voxelloom.llm.shared import connected_components, fresh, small_batches, written
 
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -61,17 +64,27 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
+    small_batches(docs)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def position_sets(agree: int, size: int) -> list[tuple[int, ...]]:
-    """Sets of `size` byte positions, one of which lies in any `agree` positions that agree."""
-    if (agree, size) == (4, 3):
-        parts = [(0, 1, 2), (3, 4, 5), (6, 7)]
-        sets = [t for p in parts for t in itertools.combinations(p, 3)]
-        sets += [(*two, one) for p, q in zip(parts, parts[1:] + parts[:1], strict=True) for two in itertools.combinations(p, 2) for one in q]
-        return sorted(tuple(sorted(s)) for s in sets)
-    return list(itertools.combinations(range(8), min(size, agree)))
+def position_sets(agree: int) -> list[tuple[int, ...]]:
+    """Sets of at most 3 byte positions, one of which lies in any `agree` positions that agree."""
+    if agree != 4:
+        return list(itertools.combinations(range(8), min(3, agree)))
+    parts = [(0, 1, 2), (3, 4, 5), (6, 7)]
+    sets = [t for p in parts for t in itertools.combinations(p, 3)]
+    sets += [(*two, one) for p, q in zip(parts, parts[1:] + parts[:1], strict=True) for two in itertools.combinations(p, 2) for one in q]
+    return sorted(tuple(sorted(s)) for s in sets)
+
+
+def shared_bytes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many byte positions agree, of each pair of unsigned fingerprints."""
+    tally = np.zeros((len(left), len(right)), np.uint8)
+    for p in range(8):
+        shift = np.uint64(8 * p)
+        tally += (left >> shift).astype(np.uint8)[:, None] == (right >> shift).astype(np.uint8)[None, :]
+    return tally
 
 
 def spanning_labels(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,15 +99,14 @@ def spanning_labels(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, cols = new_rows, new_cols
 
 
-def links(fps: DataFrame, bits: int = 4, short: int = 16, block: int = 1024) -> DataFrame:
+def links(fps: DataFrame, bits: int = 4, short: int = 128, block: int = 1024) -> DataFrame:
     """(src, dst) whose components are those of all pairs of distinct fps within `bits` bits.
 
     `short`: a list up to this length is joined with itself. `block`: rows of a block of longer
-    lists. Both are physical choices and change no result, like the size of the position sets.
+    lists. Both are physical choices and change no result.
     """
     agree = 8 - bits
-    size = 3 if fps.count() <= 1 << 24 else 4
-    sets = position_sets(agree, size)
+    sets = position_sets(agree)
     masks = [sum(0xFF << 8 * p for p in s) for s in sets]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     index = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])).alias("key"))
@@ -116,8 +128,9 @@ def links(fps: DataFrame, bits: int = 4, short: int = 16, block: int = 1024) ->
         lo, hi = key[1], key[2]
         own, fp = pdf["own"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
         left, right = fp[own == lo], fp[own == hi]
-        xor = left[:, None] ^ right[None, :]
-        near = np.bitwise_count(xor) <= bits  # few differing bits imply the tally of equal bytes
+        near = shared_bytes(left, right) >= agree
+        i, j = np.nonzero(near)
+        near[i, j] = np.bitwise_count(left[i] ^ right[j]) <= bits
         rows, cols = spanning_labels(near)
         nodes = np.concatenate([left, right]).view(np.int64)
         src, dst = nodes, nodes[np.concatenate([rows, cols])]
@@ -128,16 +141,11 @@ def links(fps: DataFrame, bits: int = 4, short: int = 16, block: int = 1024) ->
     return found.unionByName(blocks).distinct()
 
 
-def linked_prints(prints: DataFrame, bits: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(fp, first_doc) of every distinct fp, and (fp, first_doc, component) of those with a link."""
-    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    groups = written(connected_components(links(fps, bits)))
-    return fps, fps.join(groups, fps.fp == groups.node).select("fp", "first_doc", "component")
-
-
 def components(prints: DataFrame, bits: int = 4) -> DataFrame:
     """prints(doc_id, fp, ...) with component_id added."""
-    fps, linked = linked_prints(prints, bits)
+    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    groups = written(connected_components(links(fps, bits)))
+    linked = fps.join(groups, fps.fp == groups.node).select("fp", "first_doc", "component")
     heads = written(linked.groupBy("component").agg(F.min("first_doc").alias("component_id")))
     heads = written(linked.join(heads, "component").select("fp", "component_id"))
     every = written(fps.join(heads, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id")))
@@ -153,21 +161,25 @@ def simhash_dedup(docs: DataFrame, *, bits: int = 4, shingle: int = 4) -> DataFr
 def keep_one_each(docs: DataFrame, *, bits: int = 4, shingle: int = 4) -> DataFrame:
     """The rows of docs that stay: of each component one row with its smallest doc_id, nulls last.
 
-    A row is known by doc_id and fingerprint together: rows of other components stay, whether
-    they share that doc_id or have none. Rows equal in both are copies, of which any one stays.
+    Rows are numbered in a written copy, so rows of other components stay whether they share
+    that doc_id or have none. Of a component's rows that share the smallest doc_id one stays.
     """
-    fps, linked = linked_prints(written(fingerprints(docs, shingle)), bits)
-    first = F.min(F.struct(F.col("first_doc").isNull().alias("missing"), "first_doc", "fp")).alias("first")
-    heads = linked.groupBy("component").agg(first).select("first.first_doc", "first.fp")
-    alone = fps.join(linked, "fp", "left_anti").select("first_doc", "fp")
-    doc, fp, own = (fresh(docs, name) for name in ("_head", "_head_fp", "_fp"))
-    heads = written(heads.unionByName(alone)).toDF(doc, fp)
-
-    @F.pandas_udf("long")
-    def print_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
-
-    # taken as not deterministic, or the planner would run it again in a filter below the join
-    rows = docs.withColumn(own, print_of.asNondeterministic()(F.col("text").cast("string")))
-    kept = rows.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(fp)), "left_semi")
-    return kept.dropDuplicates([own]).select(*docs.columns)
+    own, uid = fresh(docs, "_fp"), fresh(docs, "_uid")
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema, T.StructField(own, T.LongType())])
+
+    def add_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(None if (text := t.as_py()) is None else str(text), shingle) for t in batch.column(at)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, own])
+
+    small_batches(docs)
+    rows = written(docs.mapInArrow(add_prints, schema).withColumn(uid, F.monotonically_increasing_id()))
+    prints = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(own).alias("fp"), F.col(uid).alias("uid"))
+    head = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))
+    fps = written(prints.groupBy("fp").agg(head.alias("head")))
+    groups = written(connected_components(links(fps, bits)))
+    linked = written(fps.join(groups, fps.fp == groups.node, "left").select("fp", "component", "head"))
+    firsts = linked.where("component is not null").groupBy("component").agg(F.min("head").alias("head")).select("head")
+    heads = written(firsts.unionByName(linked.where("component is null").select("head")).select(F.col("head.uid").alias("_head")))
+    return rows.join(heads, rows[uid] == heads["_head"], "left_semi").select(*docs.columns)
