@@ -130,7 +130,7 @@ def test_segment_tree_is_best_fit():
 
 
 def test_token_counts(docs):
-    got = sorted(((r.doc_id, r.n_tokens) for r in token_files.count_documents(docs, block_tokens=97).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_tokens) for r in token_files.count_documents(docs, block_bytes=194).collect()), key=str)
     assert got == sorted(((r.doc_id, len(slow_ids(r.text, False))) for r in docs.collect()), key=str)
 
 
@@ -145,5 +145,23 @@ def test_separator_scan_of_files(spark, tmp_path):
         want |= {(f"f{k}.bin", i, n, True) for i, n in enumerate(lengths)}
         if len(ids) and (rest := len(ids) - 1 - int(ends[-1])):
             want.add((f"f{k}.bin", len(lengths), rest, False))
-    got = token_files.count_tokens(token_files.flat_blocks(spark, str(tmp_path), 64), separator=7).collect()
+    got = token_files.count_tokens(token_files.flat_files(spark, str(tmp_path), 64), separator=7).collect()
     assert {(r.file.rsplit("/", 1)[1], r.ordinal, r.n_tokens, r.ended) for r in got} == want
+
+
+def test_flat_files_hold_the_documents_in_order(docs, tmp_path):
+    """The files are flat ids and separators, and nothing else; owners name each document's place."""
+    files, owners = token_files.flatten(docs, f"file://{tmp_path}/flat")
+    streams = {r.file: np.fromfile(r.file.removeprefix("file://"), "<u2") for r in files.collect()}
+    assert all(2 * len(streams[r.file]) == r.size for r in files.collect())
+    parts = {f: np.split(s, np.flatnonzero(s == 50256) + 1) for f, s in streams.items()}
+    got = sorted(((r.doc_id, parts[r.file][r.ordinal][:-1].tolist()) for r in owners.collect()), key=str)
+    assert got == sorted(((r.doc_id, slow_ids(r.text, False)) for r in docs.collect()), key=str)
+
+
+def test_file_systems(tmp_path):
+    from pyarrow import fs
+
+    for uri in (f"file:{tmp_path}", f"file://{tmp_path}", str(tmp_path)):
+        system, path = token_files.file_system(uri)
+        assert isinstance(system, fs.LocalFileSystem) and path == str(tmp_path)
