@@ -89,21 +89,60 @@ def test_redaction(spark, docs, no_docs):
     assert pii.redact(no_docs).count() == 0 and pii.scan(no_docs).count() == 0
 
 
-def test_exact_marginals_of_a_chain_agree_with_message_passing():
-    """Without groups the chain is a tree, on which sum-product passing is exact."""
+def exact_marginals(nodes, model, unary):
+    """Sums over all labellings, with one hidden node for each group."""
     import itertools
 
     import numpy as np
 
-    text = "x1 y2 a@b.co z3"
-    nodes = pii.Nodes(text, pii.base_spans(text))
-    nodes.groups = []
-    model = {"unary": {pii.shape(t): np.array([0, -1.0, -2, -1.5, -0.7]) * (k + 1) / 2 for k, t in enumerate(nodes.tokens)}, "skip": 2.0, "chain": 0.9}
-    unary = [model["unary"][pii.shape(t)] for t in nodes.tokens]
-    unary[2] = np.array([-30.0, 0, -30, -30, -30])
-    score = np.zeros((4, 5))
-    for y in itertools.product(range(5), repeat=4):
-        w = np.exp(sum(u[v] for u, v in zip(unary, y, strict=True)) + 0.9 * sum(a == b for a, b in itertools.pairwise(y)))
+    n, out = len(unary), np.zeros((len(unary), 5))
+    for y in itertools.product(range(5), repeat=n):
+        w = np.exp(sum(unary[i][v] for i, v in enumerate(y)) + model["chain"] * sum(y[i] == y[i - 1] for i in nodes.chain))
+        for kind, g in nodes.groups:
+            w *= sum(np.exp(model["skip"][kind] * sum(y[i] == h for i in g)) for h in range(5))
         for i, v in enumerate(y):
-            score[i, v] += w
-    assert (pii.infer(nodes, model) == score.argmax(axis=1)).all()
+            out[i, v] += w
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_message_passing_against_exact_marginals():
+    """Exact on a chain, which is a tree; near it with groups, which close loops."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    text = "x1 y2 a@b.co z3 abc123456 - abc123456 y2"
+    for loops in (False, True):
+        for _ in range(5):
+            nodes = pii.Nodes(text, [[], [], [], []])
+            nodes.label[2] = 1
+            if not loops:
+                nodes.groups = []
+            assert bool(nodes.groups) == loops
+            model = {"unary": {}, "chain": float(rng.uniform(0.2, 1)), "skip": dict.fromkeys(pii.LINKS, float(rng.uniform(0.5, 2)))}
+            unary = rng.normal(size=(len(nodes.tokens), 5))
+            seen = unary.copy()
+            seen[2] = [-30, 0, -30, -30, -30]
+            got, want = pii.infer(nodes, model, unary), exact_marginals(nodes, model, seen)
+            assert np.abs(got - want).max() < (0.08 if loops else 0.01)
+
+
+def test_weights_are_fitted():
+    """Links whose ends agree get weight, in proportion to how far they do; a form that is always one label speaks for it."""
+    import numpy as np
+
+    form = pii.shape("12345678")
+    counts = {}
+    for seen in range(-1, 5):
+        for y in range(5):
+            counts[form, (-1, -1), (seen, -1, -1, -1), y] = 90 if seen == y else 10
+            counts[form, (-1, seen), (-1, -1, -1, -1), y] = 30 if seen == y else 10
+    model = pii.fit_weights(counts)
+    assert abs(model["skip"]["t"] - np.log(9)) < 0.2 and abs(model["chain"] - np.log(3)) < 0.2 and abs(model["skip"]["d"]) < 0.1
+    model = pii.fit_weights({(form, (-1, -1), (-1,) * 4, 3): 500, (pii.shape("a@b"), (-1, -1), (-1,) * 4, 0): 500})
+    scores = pii.own_scores(pii.Nodes("12345678 a@b", [[], [], [], []]), model)
+    assert scores[0].argmax() == 3 and scores[1].argmax() == 0
+
+
+def test_no_observations():
+    model = pii.fit_weights({})
+    assert pii.find_spans("call 12 at 5", model) == ([[], [], [], []], [[], [], [], []])
