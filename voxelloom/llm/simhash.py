@@ -182,4 +182,5 @@ def keep_one_each(docs: DataFrame, *, bits: int = 4, shingle: int = 4) -> DataFr
     linked = written(fps.join(groups, fps.fp == groups.node, "left").select("fp", "component", "head"))
     firsts = linked.where("component is not null").groupBy("component").agg(F.min("head").alias("head")).select("head")
     heads = written(firsts.unionByName(linked.where("component is null").select("head")).select(F.col("head.uid").alias("_head")))
-    return rows.join(heads, rows[uid] == heads["_head"], "left_semi").select(*docs.columns)
+    # merged at every size: a broadcast of small heads would only hold until they grow
+    return rows.join(heads.hint("merge"), rows[uid] == heads["_head"], "left_semi").select(*docs.columns)
