@@ -1,19 +1,25 @@
 """Patches of volumes: grids, crops with padding, sampled starts, overlap averages.
 
 Volume rows are (case_id, shape, data): shape is (c, z, y, x), data the voxels in C order. A patch
-is cut from its row's own array, so no join and no shuffle is needed until predictions meet.
+is cut from its row's own array, so no join and no shuffle is needed until predictions meet. Where
+a case gives many patches they are cut by a kernel, one at a time, so a volume is never copied
+once a patch.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from voxelloom.functions.columns import dbl, sliding_starts, start_bounds
 
-AXES = ("z", "y", "x")
-
 
 def spatial(shape: Column) -> Column:
     return F.slice(shape, -3, 3)
@@ -65,22 +71,102 @@ def crop(patches: DataFrame, size: tuple[int, ...]) -> DataFrame:
     return patches.withColumn("data", cropped(F.col("data"), F.col("shape"), F.col("starts"), size))
 
 
+def over_rows(df: DataFrame, columns: list[str], kernel: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+    """One row in, rows out: kernel(*values) in NumPy, one result in memory at a time."""
+    names = [part.split()[0] for part in re.sub(r"<[^>]*>", "", schema).split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(len(batch)):
+                for out in kernel(*batch.iloc[at]):
+                    yield pd.DataFrame([out], columns=names)
+
+    return df.select(*columns).mapInPandas(run, schema)
+
+
+def before(side: int, patch: int) -> int:
+    """Zeros before a volume that is smaller than the patch."""
+    return max(patch - side, 0) // 2
+
+
+def cut_out(volume: np.ndarray, starts: list[int], sides: tuple[int, int, int]) -> np.ndarray:
+    """The patch of a (c, z, y, x) volume; what lies outside is 0."""
+    out = np.zeros((volume.shape[0], *sides), volume.dtype)
+    at = [s - before(n, p) for s, n, p in zip(starts, volume.shape[1:], sides, strict=True)]
+    inside = [(max(a, 0), min(a + p, n)) for a, p, n in zip(at, sides, volume.shape[1:], strict=True)]
+    if all(hi > lo for lo, hi in inside):
+        out[(slice(None), *(slice(lo - a, hi - a) for a, (lo, hi) in zip(at, inside, strict=True)))] = volume[(slice(None), *(slice(lo, hi) for lo, hi in inside))]
+    return out
+
+
+def axis_starts(side: int, patch: int, overlap: float) -> list[int]:
+    """Starts along one axis: steps of the part that does not overlap, and the last place; the rule of `sliding_starts`."""
+    step = max(1, round(patch * (1 - overlap)))
+    last = max(side - patch, 0)
+    return [*range(0, last, step), last]
+
+
+def grid_patches(volumes: DataFrame, size: tuple[int, ...], overlap: float = 0.5, model: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(case_id, shape, patch, starts, data): the patches of `grid`, cut one at a time from their volume, and put through `model`."""
+    if not 0 <= overlap < 1:
+        raise ValueError("overlap must be at least 0 and below 1")
+    sides = patch_size(size)
+
+    def cut(case_id, shape, data) -> Iterator[tuple]:
+        volume = np.asarray(data, np.float32).reshape(*map(int, shape))
+        axes = [axis_starts(n, p, overlap) for n, p in zip(volume.shape[1:], sides, strict=True)]
+        for k, starts in enumerate(itertools.product(*axes)):
+            patch = cut_out(volume, list(starts), sides)
+            yield case_id, shape, k, list(starts), (patch if model is None else np.asarray(model(patch), np.float32)).ravel()
+
+    kind = volumes.schema["case_id"].dataType.simpleString()
+    return over_rows(volumes, ["case_id", "shape", "data"], cut, f"case_id {kind}, shape array<int>, patch int, starts array<int>, data array<float>")
+
+
 def merge(predictions: DataFrame, size: tuple[int, ...]) -> DataFrame:
     """(case_id, shape, data) from predictions(case_id, shape, starts, data): the mean over each voxel's patches; 0 where there is none.
 
-    Sums are merged per voxel with map-side combining; voxels of padding are left out.
+    A volume is summed in slabs as thick as a patch, each in a task of its own with the patches
+    that reach into it, at most two slabs a patch; padding is left out. Work is in proportion to
+    the patches' voxels.
     """
-    pz, py, px = patch_size(size)
-    rows = predictions.select("case_id", "shape", "starts", F.posexplode("data").alias("p", "v"))
-    at = rows.select("case_id", "shape", F.expr(f"p div {pz * py * px}").alias("c"), *[(F.element_at("starts", k + 1) + F.expr(e) - F.floor(F.greatest(F.lit(n) - F.element_at("shape", k - 3), F.lit(0)) / 2)).alias(a) for k, (a, n, e) in enumerate(zip(AXES, (pz, py, px), (f"p div {py * px} % {pz}", f"p div {px} % {py}", f"p % {px}"), strict=True))], "v")
-    for k, a in enumerate(AXES):
-        at = at.where((F.col(a) >= 0) & (F.col(a) < F.element_at("shape", k - 3)))
-    side = [F.element_at("shape", k - 3) for k in range(3)]
-    index = (((F.col("c") * side[0] + F.col("z")) * side[1] + F.col("y")) * side[2] + F.col("x")).alias("i")
-    mean = at.select("case_id", "shape", index, F.col("v").cast("double").alias("v")).groupBy("case_id", "shape", "i").agg(F.avg("v").alias("v"))
-    whole = mean.groupBy("case_id", "shape").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
-    cells = F.aggregate("shape", F.lit(1), lambda s, n: s * n)
-    return whole.select("case_id", "shape", F.transform(F.sequence(F.lit(0).cast("long"), cells.cast("long") - 1), lambda i: F.coalesce(F.try_element_at("m", i), dbl(0)).cast("float")).alias("data"))
+    pz, py, px = sides = patch_size(size)
+    kind = predictions.schema["case_id"].dataType.simpleString()
+    start = F.element_at("starts", 1) - F.floor(F.greatest(F.lit(pz) - F.element_at("shape", -3), F.lit(0)) / 2)
+    lo, hi = F.greatest(start, F.lit(0)), F.least(start + pz, F.element_at("shape", -3)) - 1
+    reach = F.when(hi >= lo, F.sequence(F.floor(lo / pz), F.floor(hi / pz)))
+    rows = predictions.select("case_id", "shape", "starts", "data", F.explode(reach).alias("slab"))
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        shape = [int(n) for n in pdf["shape"].iloc[0]]
+        low = int(key[1]) * pz
+        total = np.zeros((shape[0], min(low + pz, shape[1]) - low, *shape[2:]))
+        count = np.zeros(total.shape[1:])
+        for starts, data in zip(pdf["starts"], pdf["data"], strict=True):
+            at = [int(s) - before(n, p) for s, n, p in zip(starts, shape[1:], sides, strict=True)]
+            at[0] -= low
+            inside = [(max(a, 0), min(a + p, n)) for a, p, n in zip(at, sides, total.shape[1:], strict=True)]
+            if all(b > a for a, b in inside):
+                here = tuple(slice(a, b) for a, b in inside)
+                there = tuple(slice(a - o, b - o) for (a, b), o in zip(inside, at, strict=True))
+                total[(slice(None), *here)] += np.asarray(data).reshape(-1, *sides)[(slice(None), *there)]
+                count[here] += 1
+        mean = (total / np.maximum(count, 1)).astype(np.float32)
+        return pd.DataFrame({"case_id": [key[0]] * shape[0], "shape": [shape] * shape[0], "c": range(shape[0]), "slab": [key[1]] * shape[0], "part": list(mean.reshape(shape[0], -1))})
+
+    slabs = rows.groupBy("case_id", "slab").applyInPandas(add, f"case_id {kind}, shape array<int>, c int, slab long, part array<float>")
+    # a thin patch may leave slabs without any: they are zeros
+    whole = slabs.groupBy("case_id").agg(F.first("shape").alias("shape"), F.collect_list(F.struct("c", "slab", "part")).alias("parts"))
+
+    def join(case_id, shape, parts) -> Iterator[tuple]:
+        shape = [int(n) for n in shape]
+        out = np.zeros(shape, np.float32)
+        for part in parts:
+            low = int(part["slab"]) * pz
+            out[int(part["c"]), low : low + pz] = np.asarray(part["part"], np.float32).reshape(-1, *shape[2:])
+        yield case_id, shape, out.ravel()
+
+    return over_rows(whole, ["case_id", "shape", "parts"], join, f"case_id {kind}, shape array<int>, data array<float>")
 
 
 def uniform(seed: int, *of: str | Column) -> Column:
@@ -123,19 +209,30 @@ def best_of(draws: DataFrame, size: tuple[int, ...], seed: int, level: float, le
     return scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_try").withColumnRenamed("_draw", "draw")
 
 
+def box_counts(mask: np.ndarray, starts: list[list[int]], sides: tuple[int, int, int]) -> np.ndarray:
+    """Set voxels in the box at each combination of starts, clipped at the end, from the 8 corners of an integral image."""
+    table = np.zeros([n + 1 for n in mask.shape], np.int64)
+    table[1:, 1:, 1:] = mask
+    for axis in range(3):
+        table = table.cumsum(axis=axis)
+    ends = [[np.minimum(np.array(s) + p, n), np.array(s)] for s, p, n in zip(starts, sides, mask.shape, strict=True)]
+    return sum((-1) ** sum(corner) * table[np.ix_(*(e[c] for e, c in zip(ends, corner, strict=True)))] for corner in itertools.product((0, 1), repeat=3))
+
+
 def valid_starts(masks: DataFrame, size: tuple[int, ...], least: float, most: int) -> DataFrame:
     """masks(case_id, shape, data): the first `most` grid starts, steps of a quarter patch, whose patch holds the share `least` of set voxels."""
     sides = patch_size(size)
-    axes = []
-    for k, p in enumerate(sides):
-        last = F.greatest(F.element_at("shape", k - 3) - p, F.lit(0))
-        axes.append(F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(max(1, p // 4))), F.array(last))))
-    z, y, x = axes
-    places = F.flatten(F.transform(z, lambda a: F.flatten(F.transform(y, lambda b: F.transform(x, lambda c: F.array(a, b, c))))))
-    need = F.lit(1)
-    for k, p in enumerate(sides):
-        need = need * F.least(F.element_at("shape", k - 3), F.lit(p))
-    box = cropped(F.col("data"), F.col("shape"), F.col("starts"), size)
-    rows = masks.select("case_id", "shape", "data", F.posexplode(places).alias("patch", "starts"))
-    rows = rows.where(F.size(F.filter(box, lambda v: v > 0)) >= dbl(least) * need).select("case_id", "patch", "starts")
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy("case_id").orderBy("patch"))).where(F.col("_r") <= most).drop("_r")
+
+    def scan(case_id, shape, data) -> Iterator[tuple]:
+        mask = (np.asarray(data, float).reshape(-1, *(int(n) for n in shape[-3:])) > 0)[0]
+        axes = []
+        for n, p in zip(mask.shape, sides, strict=True):
+            last = max(n - p, 0)
+            axes.append(sorted({*range(0, last + 1, max(1, p // 4)), last}))
+        counts = box_counts(mask, axes, sides)
+        need = least * np.prod([min(n, p) for n, p in zip(mask.shape, sides, strict=True)])
+        for k in np.flatnonzero(counts.ravel() >= need)[:most].tolist():
+            yield case_id, k, [axes[d][i] for d, i in enumerate(np.unravel_index(k, counts.shape))]
+
+    kind = masks.schema["case_id"].dataType.simpleString()
+    return over_rows(masks, ["case_id", "shape", "data"], scan, f"case_id {kind}, patch int, starts array<int>")

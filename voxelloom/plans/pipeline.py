@@ -116,16 +116,8 @@ def preprocess_unpaired(a: DataFrame, b: DataFrame, config_a: planner.Config, co
 
 def predict(done: DataFrame, model: Callable[[np.ndarray], np.ndarray], size: tuple[int, ...], overlap: float = 0.5) -> DataFrame:
     """(case_id, shape, data): the mean prediction of overlapping patches; model maps (c, z, y, x) to the same shape."""
-    p = patches.crop(patches.grid(done.select("case_id", "shape", F.col("image").alias("data")), size, overlap), size)
-    sides = patches.patch_size(size)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["data"] = [np.asarray(model(np.asarray(d, np.float32).reshape(-1, *sides)), np.float32).ravel() for d in pdf["data"]]
-            yield pdf
-
-    rows = p.select("case_id", "shape", "starts", "data")
-    return patches.merge(rows.mapInPandas(run, rows.schema), size)
+    volumes = done.select("case_id", "shape", F.col("image").alias("data"))
+    return patches.merge(patches.grid_patches(volumes, size, overlap, model), size)
 
 
 def restore(predictions: DataFrame, done: DataFrame, config: planner.Config, settings: kernels.Settings | None = None) -> DataFrame:
