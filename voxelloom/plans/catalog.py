@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,7 +12,8 @@ from pyspark.sql import Window as W
 from voxelloom.functions import columns as C
 from voxelloom.functions.columns import dbl, rounded
 from voxelloom.functions.ranks import ranked
-from voxelloom.operators import masks, normalize, resample, volumes
+from voxelloom.operators import masks, normalize, patches, resample, volumes
+from voxelloom.plans import pipeline, planner
 from voxelloom.plans.quantiles import exact_quantiles
 from voxelloom.session import ship
 
@@ -283,7 +285,19 @@ def undo_preprocessing(spark, d):
     return changed(spark, d, there_and_back)
 
 
-@query()
+def _weights(name: str, axis: int) -> str:
+    """The weight matrix of one axis as a table (o, i, w)."""
+    m = resample.cubic_matrix(SHAPE[axis], UP[axis]) if SHAPE[axis] != UP[axis] else np.eye(SHAPE[axis])
+    cells = ", ".join(f"({o}, {i}, {float(w)!r}::DOUBLE)" for o, row in enumerate(m) for i, w in enumerate(row))
+    return f"{name} AS (SELECT * FROM (VALUES {cells}) t(o, i, w))"
+
+
+@query(f"""WITH {VOX}, {_weights('wz', 0)}, {_weights('wy', 1)}, {_weights('wx', 2)},
+az AS (SELECT case_id, wz.o AS z, y, x, sum(w * v) AS v FROM vox JOIN wz ON z = i GROUP BY 1, 2, 3, 4),
+ay AS (SELECT case_id, z, wy.o AS y, x, sum(w * v) AS v FROM az JOIN wy ON y = i GROUP BY 1, 2, 3, 4),
+ax AS (SELECT case_id, z, y, wx.o AS x, sum(w * v) AS v FROM ay JOIN wx ON x = i GROUP BY 1, 2, 3, 4),
+lim AS (SELECT case_id, min(v) AS lo, max(v) AS hi FROM vox GROUP BY 1)
+SELECT case_id, CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {R.format('greatest(least(v, hi), lo)')} AS v FROM ax JOIN lim USING (case_id)""")
 def resample_cubic(spark, d):
     return as_voxels(resample.resample_cubic(cases(spark, d), SHAPE, UP), UP)
 
@@ -336,16 +350,13 @@ def id_mismatch(spark, d):
     return mismatches(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id"), "doc_id", "no document", "no label")
 
 
-@query("""WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings WHERE vec_id % 2 = 0),
-b AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings WHERE vec_id % 2 = 1 AND vec_id % 3 = 0)
-SELECT a.vec_id AS id_a, b.vec_id AS id_b FROM a JOIN b ON a.i % (SELECT count(*) FROM b) = b.i""")
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS i FROM pages)
+SELECT a.doc_id AS id_a, b.page_id AS id_b FROM a JOIN b ON a.i % (SELECT count(*) FROM b) = b.i""")
 def pair_modulo(spark, d):
-    """The longer domain meets the shorter one by rank modulo its size; ids only, a narrow table."""
-    e = table(spark, d, "embeddings").select("vec_id")
-    a = ranked(e.where("vec_id % 2 = 0"), ["vec_id"], "i")
-    b = ranked(e.where("vec_id % 2 = 1 and vec_id % 3 = 0"), ["vec_id"], "j")
+    """The longer domain meets the shorter one by rank modulo its size; ids only, narrow tables."""
+    a, b = ranked(table(spark, d, "documents").select("doc_id"), ["doc_id"], "i"), ranked(table(spark, d, "pages").select("page_id"), ["page_id"], "j")
     n = b.count()
-    return a.join(b.withColumnRenamed("vec_id", "id_b"), F.col("i") % max(n, 1) == F.col("j")).select(F.col("vec_id").alias("id_a"), "id_b")
+    return a.join(b, F.col("i") % max(n, 1) == F.col("j")).select(F.col("doc_id").alias("id_a"), F.col("page_id").alias("id_b"))
 
 
 @query(f"WITH {VOX} SELECT case_id, z, y, x, CAST(round_even(greatest(least(v * 4, 1), 0) * 255, 0) AS SMALLINT) AS q FROM vox")
@@ -358,10 +369,11 @@ def conflict_dequantize(spark, d):
     return conflict_quantize(spark, d).select("case_id", "z", "y", "x", rounded(F.col("q") / dbl(255)).alias("v"))
 
 
-@query("SELECT e.vec_id AS case_id, c.n_chars AS conflict FROM embeddings e LEFT JOIN (SELECT doc_id, n_chars FROM documents WHERE doc_id % 2 = 0) c ON e.vec_id = c.doc_id")
+@query("SELECT d.doc_id AS case_id, l.quality AS conflict FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def conflict_left_join(spark, d):
-    side = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("case_id"), F.col("n_chars").alias("conflict"))
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id")).join(side, "case_id", "left")
+    """Cases keep their place where the side table has a gap."""
+    side = table(spark, d, "labels").select(F.col("doc_id").alias("case_id"), F.col("quality").alias("conflict"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("case_id")).join(side, "case_id", "left")
 
 
 def set_voxels(spark, d, cut: float = 0.1) -> DataFrame:
@@ -408,17 +420,39 @@ def mask_rows(spark, d, kernel) -> DataFrame:
     return volumes.voxels(masks.over_volumes(m, SHAPE, kernel), data="mask", value="m").where("m")
 
 
-@query()
+NEAR = "b.case_id = o.case_id AND b.z = o.z + st.dz AND b.y = o.y + st.dy AND b.x = o.x + st.dx"
+RAW = "raw AS (SELECT case_id, z, y, x FROM vox WHERE v > 0.05::DOUBLE)"
+
+
+def _filled(source: str, out: str) -> str:
+    """CTEs: all voxels but the background that reaches the border."""
+    return f"""{out}_bg AS (SELECT case_id, z, y, x FROM vox EXCEPT SELECT * FROM {source}),
+{out}_open AS (SELECT * FROM {out}_bg WHERE z IN (0, 3) OR y IN (0, 3) OR x IN (0, 3) UNION SELECT b.* FROM {out}_open o, st, {out}_bg b WHERE {NEAR}),
+{out} AS (SELECT case_id, z, y, x FROM vox EXCEPT SELECT * FROM {out}_open)"""
+
+
+def _largest(source: str, out: str) -> str:
+    """CTEs: the largest component, the one of the first voxel where sizes tie."""
+    return f"""{out}_reach AS (SELECT case_id, z * 16 + y * 4 + x AS root, z, y, x FROM {source} UNION SELECT o.case_id, o.root, b.z, b.y, b.x FROM {out}_reach o, st, {source} b WHERE {NEAR}),
+{out}_label AS (SELECT case_id, z, y, x, min(root) AS root FROM {out}_reach GROUP BY 1, 2, 3, 4),
+{out}_best AS (SELECT case_id, root FROM (SELECT case_id, root, row_number() OVER (PARTITION BY case_id ORDER BY count(*) DESC, root) AS r FROM {out}_label GROUP BY 1, 2) WHERE r = 1),
+{out} AS (SELECT case_id, z, y, x FROM {out}_label JOIN {out}_best USING (case_id, root))"""
+
+
+@query(f"WITH RECURSIVE {VOX}, {CROSS}, {RAW}, {_filled('raw', 'done')} SELECT *, true AS m FROM done")
 def mask_fill_holes(spark, d):
     return mask_rows(spark, d, masks.fill_holes)
 
 
-@query()
+@query(f"WITH RECURSIVE {VOX}, {CROSS}, {RAW}, {_largest('raw', 'done')} SELECT *, true AS m FROM done")
 def mask_largest_component(spark, d):
     return mask_rows(spark, d, masks.largest)
 
 
-@query()
+@query(f"""WITH RECURSIVE {VOX}, {CROSS}, {RAW}, {_filled('raw', 'full_')},
+grown AS (SELECT DISTINCT case_id, z + dz AS z, y + dy AS y, x + dx AS x FROM full_, st WHERE z + dz BETWEEN 0 AND 3 AND y + dy BETWEEN 0 AND 3 AND x + dx BETWEEN 0 AND 3),
+closed AS (SELECT case_id, z - dz AS z, y - dy AS y, x - dx AS x FROM grown, st GROUP BY 1, 2, 3, 4 HAVING count(*) = 7),
+{_largest('closed', 'one')}, {_filled('one', 'done')} SELECT *, true AS m FROM done""")
 def mask_postprocess(spark, d):
     return mask_rows(spark, d, masks.postprocess)
 
@@ -563,7 +597,7 @@ def validation_errors(spark, d):
     return violations(bad, SHAPE)
 
 
-@query()
+@query("SELECT 'segmentation' AS task_mode, 'train' AS run_stage, CAST(vec_id AS VARCHAR) AS identifier FROM embeddings")
 def manifest_roundtrip(spark, d):
     from voxelloom.sources.manifest import MANIFEST, manifest
 
@@ -571,6 +605,52 @@ def manifest_roundtrip(spark, d):
     return manifest(ids, "segmentation", "train").select(F.from_json(F.to_json(F.struct("*")), MANIFEST).alias("m")).select("m.task_mode", "m.run_stage", F.explode("m.identifiers").alias("identifier"))
 
 
+def case_rows(spark, d) -> DataFrame:
+    """The embeddings as raw cases of the data set pipeline, on an even grid."""
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").cast("string").alias("case_id"), F.array(*[F.lit(n) for n in (1, *SHAPE)]).alias("shape"), F.array(dbl(1), dbl(1), dbl(1)).alias("spacing"), F.col("embedding").cast("array<float>").alias("image"))
+
+
+def flat_voxels(df: DataFrame, data: str) -> DataFrame:
+    return df.select("case_id", F.posexplode(data).alias("p", "v")).select("case_id", "p", rounded(F.col("v").cast("double")).alias("v"))
+
+
+F32 = R.format("CAST(CAST({0} AS FLOAT) AS DOUBLE)")
+
+
+@query(f"""WITH {VOX}, st AS (SELECT case_id, avg(v) AS m, greatest(stddev_pop(v), 1e-8) AS s FROM vox GROUP BY 1)
+SELECT CAST(case_id AS VARCHAR) AS case_id, y * 16 + x * 4 + z AS p, {F32.format('(v - m) / s')} AS v FROM vox JOIN st USING (case_id)""")
+def case_preprocess(spark, d):
+    """The pipeline that the command line runs: axes turned, z-scores, no resampling on an even grid."""
+    config = planner.Config([1.0, 1.0, 1.0], [1, 2, 0], ["ZScoreNormalization"], [False], {}, planner.Resampling(3, 0, 1, 0))
+    return flat_voxels(pipeline.preprocess(case_rows(spark, d), config, task="segmentation", stage="predict"), "image")
+
+
+@query(f"WITH {VOX} SELECT CAST(case_id AS VARCHAR) AS case_id, z * 16 + y * 4 + x AS p, {F32.format('2 * v')} AS v FROM vox")
+def case_restore(spark, d):
+    """Preprocessed, put through a model by overlapping patches, merged, and undone on the raw grid."""
+    config = planner.Config([1.0, 1.0, 1.0], [1, 2, 0], ["NoNormalization"], [False], {}, planner.Resampling(3, 0, 1, 0))
+    done = pipeline.preprocess(case_rows(spark, d), config, task="segmentation", stage="predict")
+    return flat_voxels(pipeline.restore(pipeline.predict(done, lambda a: 2 * a, (2, 3, 3)), done, config), "data")
+
+
+@query(f"WITH {VOX}, g AS ({GRID}) SELECT case_id, patch, sz, sy, sx, {F32.format('sum(v)')} AS s FROM vox JOIN g ON {INBOX} GROUP BY 1, 2, 3, 4, 5")
+def patch_kernel_cut(spark, d):
+    """Sums of the patches that prediction and training read."""
+    volumes_ = case_rows(spark, d).select(F.col("case_id").cast("long").alias("case_id"), "shape", F.col("image").alias("data"))
+    cut = patches.grid_patches(volumes_, (2, 2, 2))
+    total = F.aggregate("data", dbl(0), lambda a, v: a + v.cast("double"))
+    return cut.select("case_id", "patch", *[F.element_at("starts", k + 1).alias(f"s{a}") for k, a in enumerate("zyx")], rounded(total.cast("float").cast("double")).alias("s"))
+
+
+@query(f"WITH {VOX}, g AS ({GRID}) SELECT case_id, patch, sz, sy, sx FROM vox JOIN g ON {INBOX} GROUP BY 1, 2, 3, 4, 5 HAVING sum(CAST(v > 0.1::DOUBLE AS INT)) >= 4")
+def patch_kernel_valid_starts(spark, d):
+    """The integral image's starts against plain sums."""
+    rows = cases(spark, d).select("case_id", F.array(*[F.lit(n) for n in (1, *SHAPE)]).alias("shape"), F.transform("data", lambda v: (v > dbl(0.1)).cast("float")).alias("data"))
+    found = patches.valid_starts(rows, (2, 2, 2), 0.5, 1000)
+    return found.select("case_id", "patch", *[F.element_at("starts", k + 1).alias(f"s{a}") for k, a in enumerate("zyx")])
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Data set statistics, CT normalisation, linear resampling and the foreground share of each case."""
     normal = norm_ct(spark, d).groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("z", "y", "x", "v"))), lambda s: s["v"]).alias("data"))
