@@ -176,3 +176,37 @@ def test_new_files_arrive_once(spark, tmp_path):
         store_new(arriving_files(spark, str(src)), str(out), str(mark)).awaitTermination()
         assert spark.read.parquet(str(out)).count() == want
         (src / "f9.nii").write_bytes(b"new")
+
+
+def test_published_flag_names():
+    from voxelloom.cli import parser
+
+    base = ["preprocess-dataset", "--task-mode", "unpaired_generative", "--output-folder", "o"]
+    args = parser().parse_args([*base, "--folder-a", "a", "--folder-b", "b", "--domain-a-reader", "tiff3d", "--plans-a-file", "p", "--configuration-a-name", "n", "--config-b-json", "c", "--num-processes", "4"])
+    assert (args.images_dir, args.target_dir, args.image_reader) == ("a", "b", "tiff3d")
+    assert (args.plans_json_a, args.configuration_a, args.config_json_b, args.config_json) == ("p", "n", "c", None)
+    args = parser().parse_args([*base, "--source-dir", "s", "--plans-file", "p", "--configuration-name", "n", "--masking-mode", "threshold", "--mask-reader", "auto"])
+    assert (args.images_dir, args.plans_json, args.configuration) == ("s", "p", "n")
+
+
+def test_named_readers(spark):
+    from voxelloom.sources import scan
+
+    files = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    assert not scan.checked_reader(files("a.png"), "auto") and not scan.checked_reader(files("a.mha", "b.nii.gz"), "simpleitk")
+    assert scan.checked_reader(files("a.nii"), "nibabel_reorient")
+    for names, reader in ((("a.nii", "b.png"), "nibabel"), (("a.mha",), "simpleitk_reorient"), (("a.png",), "tiff")):
+        with pytest.raises(ValueError):
+            scan.checked_reader(files(*names), reader)
+
+
+def test_grids_by_kernel_and_by_expression_agree(spark):
+    rows = [(1, [1, 5, 4, 3], [float(v) for v in range(60)]), (2, [2, 2, 7, 3], [float(v) for v in range(84)])]
+    df = spark.createDataFrame(rows, "case_id long, shape array<int>, data array<float>")
+    for size in ((2, 3, 2), (4, 4), (6, 6, 6)):
+        want = patches.crop(patches.grid(df, size), size).select("case_id", "patch", "starts", "data")
+        got = patches.grid_patches(df, size).select("case_id", "patch", "starts", "data")
+        key = lambda r: (r.case_id, r.patch)
+        assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.collect())), key
+        back = patches.merge(patches.grid_patches(df, size), size).collect()
+        assert {r.case_id: list(r.data) for r in back} == {r[0]: r[2] for r in rows}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,18 +39,24 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--folder-b-name", default="b")
         p.add_argument("--disable-random-pairing", action="store_true")
         for side in ("", "-a", "-b"):
-            p.add_argument(f"--config-json{side}")
-            p.add_argument(f"--plans-json{side}")
-            p.add_argument(f"--configuration{side}")
+            p.add_argument(f"--config{side}-json", f"--config-json{side}", dest=f"config_json{side.replace('-', '_')}")
+            p.add_argument(f"--plans{side}-file", f"--plans-json{side}", dest=f"plans_json{side.replace('-', '_')}")
+            p.add_argument(f"--configuration{side}-name", f"--configuration{side}", dest=f"configuration{side.replace('-', '_')}")
     for p in (save, show):
         p.add_argument("--folder", required=True)
     run.add_argument("--output-folder", required=True)
-    run.add_argument("--images-dir", required=True, help="images, sources, or domain A")
-    run.add_argument("--target-dir", "--label-dir", dest="target_dir", help="labels, targets, or domain B")
+    run.add_argument("--images-dir", "--source-dir", "--folder-a", dest="images_dir", required=True, help="images, sources, or domain A")
+    run.add_argument("--target-dir", "--label-dir", "--folder-b", dest="target_dir", help="labels, targets, or domain B")
+    run.add_argument("--image-reader", "--source-reader", "--domain-a-reader", dest="image_reader", choices=("auto", *scan.READER_ENDINGS), default="auto")
+    run.add_argument("--target-reader", "--reference-reader", "--domain-b-reader", dest="target_reader", choices=("auto", *scan.READER_ENDINGS), default="auto")
+    run.add_argument("--mask-reader", choices=("auto", *scan.READER_ENDINGS), default="auto")
+    run.add_argument("--num-processes", type=int, help="taken for compatibility: the session's cores do the work")
+    run.add_argument("--masking-mode", choices=("threshold",), help="taken for compatibility: masks come from thresholds where no folder is given")
     run.add_argument("--multi-image", action="store_true")
     run.add_argument("--reorient", action="store_true", help="to right, anterior, superior")
     run.add_argument("--dataset-json")
     run.add_argument("--images-mask-dir")
+    run.add_argument("--target-mask-dir", help="masks aligned with --target-dir; set voxels of either folder may be sampled")
     run.add_argument("--mask-threshold", type=number_or_none, default=None)
     run.add_argument("--images-mask-threshold", type=number_or_none, default=argparse.SUPPRESS)
     run.add_argument("--target-mask-threshold", type=number_or_none, default=argparse.SUPPRESS)
@@ -98,27 +105,42 @@ def configured(args: argparse.Namespace, cases: DataFrame, side: str = "") -> tu
 
 def preprocess_dataset(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Scan, match, plan, preprocess, store; the manifest's row."""
-    load = lambda folder: scan.load_cases(spark, folder, multi=args.multi_image, to_ras=args.reorient)
+    decoded = f"{args.output_folder.rstrip('/')}/_decoded"
+
+    def load(folder: str, reader: str, multi: bool = args.multi_image) -> DataFrame:
+        """Cases of a folder, decoded once: planning and preprocessing read them from Parquet."""
+        path = f"{decoded}/{uuid.uuid4().hex}"
+        scan.load_cases(spark, folder, multi=multi, to_ras=args.reorient, reader=reader).write.option("compression", "zstd").parquet(path)
+        return spark.read.parquet(path)
+
     own = {side: getattr(args, f"{name}_mask_threshold") for side, name in (("image", "images"), ("target", "target")) if hasattr(args, f"{name}_mask_threshold")}
     level = thresholds(args.mask_threshold, own)
     rules = MaskRules(level["image"], level["target"], args.mask_fill_holes, args.mask_keep_largest_component, args.mask_closing_iters)
     keep = store.should_save_mask(args.task_mode, args.run_stage, args.save_mask)
-    images, folder = load(args.images_dir), args.output_folder.rstrip("/")
+    images, folder = load(args.images_dir, args.image_reader), args.output_folder.rstrip("/")
     if args.task_mode == "unpaired_generative" and args.target_dir:
-        other = load(args.target_dir)
+        other = load(args.target_dir, args.target_reader)
         (config_a, a), (config_b, b) = configured(args, images, "_a"), configured(args, other, "_b")
         for cases, config, name in ((images, config_a, args.folder_a_name), (other, config_b, args.folder_b_name)):
             store.save_cases(pipeline.preprocess(cases, config, task=args.task_mode, stage=args.run_stage, rules=rules), f"{folder}/{name}", save_mask=keep)
         found, config = planner.merge_configurations(a, b), config_a
     else:
-        if args.images_mask_dir:
-            masks = scan.matched(images, scan.load_cases(spark, args.images_mask_dir, multi=False), "mask")
-            images = masks.withColumn("mask", F.transform("mask", lambda v: v != 0)).drop("ref_channels")
+        given = [scan.matched(images, load(m, args.mask_reader, False), "mask").select("case_id", F.transform("mask", lambda v: v != 0).alias("mask")) for m in (args.images_mask_dir, args.target_mask_dir) if m]
+        if args.target_mask_dir and not args.target_dir:
+            raise ValueError("--target-mask-dir needs --target-dir")
+        if len(given) == 2:
+            second = given[1].withColumnRenamed("mask", "_m")
+            given = [given[0].join(second, "case_id").select("case_id", F.zip_with("mask", "_m", lambda a, b: a | b).alias("mask"))]
+        for masks in given:
+            images = images.join(masks, "case_id")
         if args.target_dir:
-            images = scan.matched(images, load(args.target_dir))
+            images = scan.matched(images, load(args.target_dir, args.target_reader))
         config, found = configured(args, images)
         store.save_cases(pipeline.preprocess(images, config, task=args.task_mode, stage=args.run_stage, rules=rules), f"{folder}/cases", save_mask=keep)
-    return save_dataset(spark, folder, args, config, found)
+    row = save_dataset(spark, folder, args, config, found)
+    drop = spark._jvm.org.apache.hadoop.fs.Path(decoded)
+    drop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(drop, True)
+    return row
 
 
 def save_dataset(spark: SparkSession, folder: str, args: argparse.Namespace, config: planner.Config | None = None, found: dict[str, dict] | None = None) -> DataFrame:

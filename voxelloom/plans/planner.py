@@ -192,6 +192,8 @@ def override_schemes(config: Config, method: str, lo: float | None = None, hi: f
     """One scheme for every channel; only z-scores keep the mask, min-max needs both bounds."""
     from dataclasses import replace
 
+    if (lo is not None or hi is not None) and method.lower() not in ("minmax", "min_max", "minmaxclipnormalization"):
+        raise ValueError("bounds of normalisation go with the min-max scheme alone")
     if method == "auto":
         return config
     scheme = {"minmax": "MinMaxClipNormalization", "min_max": "MinMaxClipNormalization", **SCHEME_NAMES}.get(method.lower())

@@ -9,6 +9,30 @@ from voxelloom.functions import columns as C
 
 READERS = {".nii.gz": "sitk", ".nii": "nibabel", ".nrrd": "sitk", ".mha": "sitk", ".gipl": "sitk", ".tiff": "tiff3d", ".tif": "natural2d", ".png": "natural2d", ".bmp": "natural2d"}
 
+#: The readers that a user may name, and the endings that each takes.
+READER_ENDINGS = {
+    "nibabel": (".nii.gz", ".nii"),
+    "nibabel_reorient": (".nii.gz", ".nii"),
+    "simpleitk": (".nii.gz", ".nrrd", ".mha", ".gipl"),
+    "simpleitk_reorient": (".nii.gz", ".nrrd", ".mha", ".gipl"),
+    "tiff3d": (".tif", ".tiff"),
+    "natural_2d": (".png", ".bmp", ".tif"),
+}
+
+
+def checked_reader(files: DataFrame, reader: str | None) -> bool:
+    """Whether a named reader turns axes to RAS; a file that it does not take is an error. None and "auto" go by ending."""
+    if reader in (None, "auto"):
+        return False
+    if reader not in READER_ENDINGS:
+        raise ValueError(f"reader is auto or one of {', '.join(READER_ENDINGS)}")
+    turns = reader.endswith("_reorient")
+    takes = [e for e in READER_ENDINGS[reader] if not turns or e in (".nii.gz", ".nii")]
+    other = files.where(~C.file_ending(F.col("name")).isin(*takes)).first()
+    if other is not None:
+        raise ValueError(f"{reader} does not {'reorient' if turns else 'read'} {other['name']}")
+    return turns
+
 
 def reader_of(ending: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in READERS.items() for x in pair])
@@ -80,7 +104,7 @@ def load_cases(spark: SparkSession, folder: str, *, multi: bool = True, recursiv
     """(case_id, shape, spacing, image) of a folder, its channel files stacked in order.
 
     Decoding is one map per file; one shuffle by case brings the channels together. Channels
-    that are not 0 to n - 1, or differ in grid, are errors.
+    that are not 0 to n - 1, or differ in grid, are errors, as is a file that a named reader does not take.
     """
     from voxelloom.sources.images import read_volumes
 
@@ -88,6 +112,7 @@ def load_cases(spark: SparkSession, folder: str, *, multi: bool = True, recursiv
     bad = (contiguity_errors if multi else single_errors)(files).first()
     if bad or files.first() is None:
         raise ValueError(f"channels of case {bad.case_id} are not complete" if bad else f"no image files in {folder}")
+    to_ras = checked_reader(files, reader) or to_ras
     v = read_volumes(spark, folder, "*", recursive, to_ras).withColumn("name", F.element_at(F.split("path", "/"), -1))
     rows = v.select(case_key(F.col("name")).alias("case_id"), F.coalesce(F.expr(f"try_cast(nullif({_sql_channel('name')}, '') as int)"), F.lit(0)).alias("channel"), "shape", "spacing", "data")
     parts = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("channel", "shape", "spacing", "data"))).alias("c"))
