@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline
+from test_simhash import brute_components, brute_print
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -10,10 +11,19 @@ def test_stages(spark, small):
     columns, counts = docs.columns, [docs.count()]
     from voxelloom.llm.shared import written
 
+    rows = [sorted(map(tuple, docs.collect()), key=str)]
     for name, stage in corpus_pipeline.STAGES[:4]:
         docs = written(stage(spark, docs, small))
         assert docs.columns == columns, name
         counts.append(docs.count())
+        rows.append(sorted(map(tuple, docs.collect()), key=str))
+    text, ident = columns.index("text"), columns.index("doc_id")
+    assert set(rows[1]) <= set(rows[0]) and set(rows[2]) <= set(rows[1])  # filters change nothing in what they keep
+    groups = brute_components([(r[ident], brute_print(r[text])) for r in rows[1]])
+    assert {r[ident] for r in rows[2]} == {component for _, _, component in groups} and len(rows[2]) == len({c for *_, c in groups})
+    assert [r[ident] for r in rows[3]] == [r[ident] for r in rows[2]]
+    by_id = {r[ident]: set(WORD.findall(r[text])) for r in rows[3]}
+    assert all(set(WORD.findall(r[text])) <= by_id[r[ident]] for r in rows[4])
     assert counts[0] >= counts[1] > counts[2] == counts[3] and counts[4] > 0
     assert not any(re.search(r"[A-Za-z0-9]@[a-z]+\.[a-z]", r.text or "") for r in docs.collect())
     packed = corpus_pipeline.STAGES[4][1](spark, docs, small)
