@@ -66,6 +66,7 @@ def test_on_the_table(spark, small):
         own = [f"{k}:{a}:{b}" for k, s in zip(pii.KINDS, base, strict=True) for a, b in s]
         assert set(own) <= set(rows[d.doc_id].spans.split(",")) | {""}
         assert rows[d.doc_id].base_sha256 == hashlib.sha256(",".join(own).encode()).hexdigest()
+        assert rows[d.doc_id].n_spans == len([s for s in rows[d.doc_id].spans.split(",") if s])
 
 
 def repeated(spark):

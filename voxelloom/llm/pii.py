@@ -317,7 +317,10 @@ def find_spans(text: str | None, model: dict) -> tuple[list[list[tuple[int, int]
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of docs(doc_id, text)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans for every row of docs(doc_id, text).
+
+    n_spans counts all spans, those of the field included.
+    """
     model = fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,11 +328,11 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = []
             for text in batch.column(1):
                 base, every = find_spans(text.as_py(), model)
-                rows.append([*map(len, base), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)])
-            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] * 4 + [pa.string()] * 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows.append([*map(len, base), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), sum(map(len, every))])
+            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
