@@ -6,7 +6,7 @@ from voxelloom.functions.ranks import ranked
 from voxelloom.operators import patches
 from voxelloom.plans import pipeline, planner
 from voxelloom.plans.quantiles import exact_quantiles
-from voxelloom.sources import images, manifest, scan, store
+from voxelloom.sources import images, manifest, scan, serving, store
 
 rng = np.random.default_rng(7)
 
@@ -152,6 +152,66 @@ def test_unpaired(spark, cases, tmp_path):
     assert len(row.domains.a.identifiers) == 4 and len(row.domains.b.splits.val) == 1
 
 
+def test_served_by_manifest(spark, cases, tmp_path):
+    config = planner.Config([2.0, 1.0, 1.0], [0, 1, 2], ["NoNormalization"] * 2, [False] * 2)
+    folder, found = str(tmp_path / "set"), {"3d": {"spacing": [2.0, 1.0, 1.0], "median_shape": [5.0, 6.0, 7.0], "patch_size": [3, 4, 4], "batch_size": 2}}
+    store.save_cases(pipeline.preprocess(cases, config), f"{folder}/cases")
+    stored = store.load_cases(spark, f"{folder}/cases")
+    ids = stored.select(F.col("case_id").alias("identifier"))
+    manifest.save_manifest(manifest.manifest(ids, "segmentation", "train", patch="2x2x2", configuration="3d", configurations=found), f"{folder}/manifest")
+    whole = {r.case_id: r for r in stored.collect()}
+    serve = lambda **options: serving.load_preprocessed_dataset(spark, folder, **options)
+    for r in serve(draws=2).collect():  # the configuration's patch
+        z, y, x = r.starts
+        own = whole[r.case_id]
+        assert (np.array(r.image).reshape(2, 3, 4, 4) == np.array(own.image).reshape(own.shape)[:, z : z + 3, y : y + 4, x : x + 4]).all() and any(v > 0 for v in r.target)
+    assert {len(r.image) for r in serve(patch=(2, 3, 3)).collect()} == {36}
+    assert {r.case_id: r.image for r in serve(use_manifest_patch=False).collect()} == {k: r.image for k, r in whole.items()}
+    assert serve(split="train").count() == 5 and serve(split="val").count() == 1
+    for wrong in ({"split": "test"}, {"configuration": "2d"}):
+        with pytest.raises(ValueError):
+            serve(**wrong)
+    m = manifest.load_manifest(spark, f"{folder}/manifest").first()
+    assert serving.serving_size(m) == (3, 4, 4) and serving.serving_size(m, (1, 2, 3)) == (1, 2, 3) and serving.serving_size(m, use_manifest=False) is None
+    # side tables as large as the image, of known cases only
+    side = stored.select("case_id", F.transform("image", lambda v: F.abs(v) / 9).alias("data"))
+    store.save_side(stored, side, f"{folder}/conflict", quantize=True)
+    conflict = store.dequantized(spark.read.parquet(f"{folder}/conflict"))
+    assert {len(r.conflict) for r in serve(side={"conflict": conflict}).collect()} == {96}
+    for n, wrong in enumerate((side.withColumn("data", F.array(F.lit(0.5))), side.withColumn("case_id", F.lit("case_9")))):
+        with pytest.raises(Exception, match="no image of this size"):
+            store.save_side(stored, wrong, str(tmp_path / f"wrong{n}"))
+    assert store.artifacts(side.withColumnRenamed("data", "artifact_pred")).columns == ["case_id", "data"]
+    with pytest.raises(ValueError):
+        store.artifacts(side)
+    with pytest.raises(Exception, match="no target in case"):
+        serving.with_targets(stored.withColumn("target", F.lit(None).cast("array<float>"))).select("target").collect()
+
+
+def test_views_and_domains_served(spark, cases, tmp_path):
+    config, ids = planner.Config([2.0, 1.0, 1.0], [0, 1, 2], ["NoNormalization"] * 2, [False] * 2), lambda df: df.select(F.col("case_id").alias("identifier"))
+    plain, folder = cases.drop("reference", "ref_channels"), str(tmp_path / "set")
+    done = pipeline.preprocess(plain, config, task="self_supervised", stage="train")
+    store.save_cases(done, f"{folder}/cases")
+    manifest.save_manifest(manifest.manifest(ids(plain), "self_supervised", "train", patch="2x3x3"), f"{folder}/manifest")
+    for r in serving.load_preprocessed_dataset(spark, folder, view=lambda image, k: F.transform(image, lambda v: v * k)).collect():
+        assert r.view1 == r.image and np.allclose(r.view2, 2 * np.array(r.image)) and len(r.image) == 36
+    pair = str(tmp_path / "pair")
+    a, b = plain.where("case_id <= 'case_0003'"), plain.where("case_id > 'case_0003'")
+    for name, rows in (("left", a), ("right", b)):
+        store.save_cases(done.join(rows.select("case_id"), "case_id", "left_semi"), f"{pair}/{name}")
+    manifest.save_manifest(manifest.unpaired_manifest(ids(a), ids(b), folders=("left", "right"), random_pairing=False, patch="2x3x3"), f"{pair}/manifest")
+    rows = serving.load_preprocessed_dataset(spark, pair).orderBy("i").collect()
+    assert [(r.id_a, r.id_b) for r in rows] == [(f"case_000{k}", f"case_000{4 + k % 2}") for k in range(4)]
+    assert all(len(r.image_a) == len(r.image_b) == 36 for r in rows)
+    assert serving.load_preprocessed_dataset(spark, pair, split="train").count() == 3
+
+
+def test_malformed_locations_are_left_out(spark):
+    rows = spark.createDataFrame([([[1, 2, 3], None, [1, 2], [0, -1, 2], [0, 1, None], [0, 4, 5, 6]],)], "places array<array<int>>")
+    assert rows.select(store.usable_locations(F.col("places"))).first()[0] == [[1, 2, 3], [0, 4, 5, 6]]
+
+
 def test_side_files_and_encoders(spark, tmp_path):
     from voxelloom.sources import rasters
 

@@ -146,10 +146,10 @@ def preprocess_dataset(spark: SparkSession, args: argparse.Namespace) -> DataFra
 def save_dataset(spark: SparkSession, folder: str, args: argparse.Namespace, config: planner.Config | None = None, found: dict[str, dict] | None = None) -> DataFrame:
     name = planner.default_configuration(found or {})
     size = args.default_patch_size or (found[name]["patch_size"] if name else None)
-    options = {"patch": "x".join(map(str, size)) if size else None, "configuration": name, "config_json": planner.config_to_json(config) if config else None, "val_ratio": args.val_ratio, "seed": args.split_seed, "storage": args.storage_format}
+    options = {"patch": "x".join(map(str, size)) if size else None, "configuration": name, "config_json": planner.config_to_json(config) if config else None, "val_ratio": args.val_ratio, "seed": args.split_seed, "storage": args.storage_format, "configurations": found}
     ids = lambda part: store.identifiers(spark, f"{folder}/{part}").select(F.col("case_id").alias("identifier"))
     if args.task_mode == "unpaired_generative" and args.run_stage == "train":
-        row = manifest.unpaired_manifest(ids(args.folder_a_name), ids(args.folder_b_name), random_pairing=not args.disable_random_pairing, **options)
+        row = manifest.unpaired_manifest(ids(args.folder_a_name), ids(args.folder_b_name), random_pairing=not args.disable_random_pairing, folders=(args.folder_a_name, args.folder_b_name), **options)
     else:
         row = manifest.manifest(ids("cases"), args.task_mode, args.run_stage, **options)
     manifest.save_manifest(row, f"{folder}/manifest")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,13 +11,14 @@ from pyspark.sql import types as T
 from voxelloom.plans.planner import REFERENCE_RULE, split_counts
 
 SPLIT = T.StructType([T.StructField("train", T.ArrayType(T.StringType())), T.StructField("val", T.ArrayType(T.StringType())), T.StructField("val_ratio", T.DoubleType()), T.StructField("split_seed", T.IntegerType())])
+PLANNED = T.MapType(T.StringType(), T.StructType([T.StructField("spacing", T.ArrayType(T.DoubleType())), T.StructField("median_shape", T.ArrayType(T.DoubleType())), T.StructField("patch_size", T.ArrayType(T.IntegerType())), T.StructField("batch_size", T.IntegerType())]))
 MANIFEST = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("task_mode", "run_stage", "dataset_kind", "storage_format", "default_patch_size", "default_configuration", "preprocessing_config")]
-    + [T.StructField("format_version", T.IntegerType()), T.StructField("identifiers", T.ArrayType(T.StringType())), T.StructField("splits", SPLIT)]
+    [T.StructField(n, T.StringType()) for n in ("task_mode", "run_stage", "dataset_kind", "storage_format", "default_patch_size", "default_configuration", "preprocessing_config", "folder")]
+    + [T.StructField("format_version", T.IntegerType()), T.StructField("identifiers", T.ArrayType(T.StringType())), T.StructField("splits", SPLIT), T.StructField("configurations", PLANNED)]
 )
 
 
-def manifest(ids: DataFrame, task: str, stage: str, *, storage: str = "parquet", patch: str | None = None, configuration: str | None = None, config_json: str | None = None, val_ratio: float = 0.2, seed: int = 42) -> DataFrame:
+def manifest(ids: DataFrame, task: str, stage: str, *, storage: str = "parquet", patch: str | None = None, configuration: str | None = None, config_json: str | None = None, configurations: dict | None = None, folder: str | None = None, val_ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """One row for ids(identifier). The file lists its identifiers, so they are one array by design."""
     if (task, stage) not in REFERENCE_RULE:
         raise ValueError(f"{task} does not support {stage}")
@@ -26,15 +29,15 @@ def manifest(ids: DataFrame, task: str, stage: str, *, storage: str = "parquet",
         n = split_counts(ids.count(), val_ratio)
         splits = F.struct(F.array_sort(F.slice("_o", n + 1, F.greatest(F.size("_o") - n, F.lit(0)))).alias("train"), F.array_sort(F.slice("_o", 1, n)).alias("val"), F.lit(float(val_ratio)).alias("val_ratio"), F.lit(seed).alias("split_seed"))
     text = lambda v: F.lit(v).cast("string")
-    fixed = {"task_mode": task, "run_stage": stage, "dataset_kind": "single_folder", "storage_format": storage, "default_patch_size": patch, "default_configuration": configuration, "preprocessing_config": config_json}
-    return every.select(*[text(v).alias(k) for k, v in fixed.items()], F.lit(1).alias("format_version"), "identifiers", splits.alias("splits"))
+    fixed = {"task_mode": task, "run_stage": stage, "dataset_kind": "single_folder", "storage_format": storage, "default_patch_size": patch, "default_configuration": configuration, "preprocessing_config": config_json, "folder": folder}
+    return every.select(*[text(v).alias(k) for k, v in fixed.items()], F.lit(1).alias("format_version"), "identifiers", splits.alias("splits"), F.from_json(text(json.dumps(configurations) if configurations else None), PLANNED).alias("configurations"))
 
 
-def unpaired_manifest(a: DataFrame, b: DataFrame, *, random_pairing: bool = True, **options) -> DataFrame:
+def unpaired_manifest(a: DataFrame, b: DataFrame, *, random_pairing: bool = True, folders: tuple[str, str] = ("domain_a", "domain_b"), **options) -> DataFrame:
     """One row with the two domains' manifests."""
-    one = lambda ids, name: manifest(ids, "unpaired_generative", "train", **options).select(F.struct("*").alias(name))
+    one = lambda ids, name, folder: manifest(ids, "unpaired_generative", "train", folder=folder, **options).select(F.struct("*").alias(name))
     key = F.lit(1).alias("_k")
-    joined = one(a, "a").select("a", key).join(one(b, "b").select("b", key), "_k")
+    joined = one(a, "a", folders[0]).select("a", key).join(one(b, "b", folders[1]).select("b", key), "_k")
     return joined.select(F.lit("unpaired_domains").alias("dataset_kind"), F.lit(random_pairing).alias("random_pairing"), F.struct("a", "b").alias("domains"))
 
 
@@ -56,6 +59,14 @@ def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     return m
 
 
+def load_any(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of one folder, checked, or that of two domains: dataset_kind, random_pairing, domains."""
+    kind = spark.read.schema("dataset_kind string").json(path).first()
+    if kind is None or kind.dataset_kind != "unpaired_domains":
+        return load_manifest(spark, path)
+    return spark.read.schema(f"dataset_kind string, random_pairing boolean, domains struct<a:{MANIFEST.simpleString()},b:{MANIFEST.simpleString()}>").json(path)
+
+
 def split_cases(cases: DataFrame, m: DataFrame, split: str) -> DataFrame:
     """The cases of one split, by semi-join."""
     return cases.join(m.select(F.explode(f"splits.{split}").alias("case_id")), "case_id", "left_semi")

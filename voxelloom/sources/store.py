@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.functions.ranks import ranked
@@ -59,6 +59,23 @@ def dequantized(side: DataFrame) -> DataFrame:
     return side.withColumn("data", F.transform("data", lambda v: (v / F.lit(255.0)).cast("float")))
 
 
+def artifacts(table: DataFrame) -> DataFrame:
+    """(case_id, data) of predicted artifacts, under either of their two names."""
+    name = next((c for c in ("artifact_prediction", "artifact_pred") if c in table.columns), None)
+    if name is None:
+        raise ValueError("artifacts are a column artifact_prediction or artifact_pred")
+    return table.select("case_id", F.col(name).alias("data"))
+
+
+def save_side(cases: DataFrame, side: DataFrame, path: str, *, quantize: bool = False) -> None:
+    """Write side(case_id, data), each as large as the image of its case; `quantize` is for conflict maps."""
+    known = cases.select("case_id", F.expr("aggregate(shape, 1, (s, k) -> s * k)").alias("_voxels"))
+    fits = side.join(known, "case_id", "left")
+    wrong = F.raise_error(F.concat(F.lit("no image of this size in case "), "case_id")).cast("array<float>")
+    fits = fits.select("case_id", F.when(F.size("data") == F.col("_voxels"), F.col("data").cast("array<float>")).otherwise(wrong).alias("data"))
+    (quantized(fits) if quantize else fits).write.option("compression", "zstd").parquet(path)
+
+
 def identifiers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("case_id").distinct().orderBy("case_id")
 
@@ -80,20 +97,34 @@ def brick_shape(patch: list[int], itemsize: int = 4, small: int = 32_768, large:
     return block, chunk
 
 
-def training_patches(cases: DataFrame, size: tuple[int, ...], *, draws: int = 1, seed: int = 42, from_locations: bool = True) -> DataFrame:
-    """Patches for a trainer: a row per case and draw with image, target and mask cut alike.
+def training_patches(cases: DataFrame, size: tuple[int, ...] | None, *, draws: int = 1, seed: int = 42, from_locations: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
+    """Patches for a trainer: a row per case and draw with image, target, mask and the side tables `also` cut alike.
 
     Starts come from class locations, else mask locations, else anywhere; they are functions of
-    seed, case and draw. Two-dimensional patches are single slices.
+    seed, case and draw. Two-dimensional patches are single slices; no size gives whole cases.
     """
-    places = F.coalesce(F.nullif(F.flatten(F.map_values("class_locations")), F.array().cast("array<array<int>>")), F.col("mask_locations"))
-    rows = cases.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("locations", places)
+    rows = cases.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return cut_patches(rows, size, seed=seed, from_locations=from_locations, also=also)
+
+
+def usable_locations(places: Column) -> Column:
+    """Locations without those that are null, hold nulls or negative numbers, or have fewer than three axes."""
+    return F.filter(places, lambda p: F.coalesce((F.size(p) >= 3) & F.forall(p, lambda k: F.coalesce(k >= 0, F.lit(False))), F.lit(False)))
+
+
+def cut_patches(rows: DataFrame, size: tuple[int, ...] | None, *, seed: int, from_locations: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
+    """`training_patches` of cases that have their `draw` already."""
+    if size is None:
+        return rows.select("case_id", "draw", F.array(*[F.lit(0)] * 3).alias("starts"), "image", "target", "mask", *also)
+    by_class = usable_locations(F.flatten(F.map_values("class_locations")))
+    rows = rows.withColumn("locations", F.coalesce(F.nullif(by_class, F.array().cast("array<array<int>>")), usable_locations(F.col("mask_locations"))))
     usable = F.coalesce(F.size("locations") > 0, F.lit(False)) & F.lit(from_locations)
     placed = patches.starts_at_locations(rows.where(usable), size, seed).unionByName(patches.random_starts(rows.where(~usable), size, seed))
     plane = F.concat(F.array(F.lit(1)), F.slice("shape", 2, 3))
     cut = lambda c, shape: F.when(F.col(c).isNotNull(), patches.cropped(F.col(c), shape, F.col("starts"), size))
     mask = F.transform("mask", lambda m: m.cast("float"))
-    return placed.select("case_id", "draw", "starts", cut("image", F.col("shape")).alias("image"), cut("target", F.coalesce("target_shape", plane)).alias("target"), F.when(F.col("mask").isNotNull(), F.transform(patches.cropped(mask, plane, F.col("starts"), size), lambda m: m > 0)).alias("mask"))
+    side = [cut(c, F.when(F.size(c) == F.size("image"), F.col("shape")).otherwise(plane)).alias(c) for c in also]
+    return placed.select("case_id", "draw", "starts", cut("image", F.col("shape")).alias("image"), cut("target", F.coalesce("target_shape", plane)).alias("target"), F.when(F.col("mask").isNotNull(), F.transform(patches.cropped(mask, plane, F.col("starts"), size), lambda m: m > 0)).alias("mask"), *side)
 
 
 def pair_domains(a: DataFrame, b: DataFrame, *, random: bool = True, seed: int = 42) -> DataFrame:
