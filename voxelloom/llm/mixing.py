@@ -174,7 +174,8 @@ def mix_blocks(docs: DataFrame, *, weights=(3, 1, 2), share=1.5, most=2.0, block
     _, pieces, slots = plan(rows, ["doc_id", "_k1", "_k2"], weights, share, most, block, shard, seed, near)
     took = pieces.select("_k1", "_k2", "sidx", "offset", "block", "start", "length").join(slots.hint("merge"), ["sidx", "block"])
     placed = took.select("_k1", "_k2", "offset", "start", "length", "shard", F.xxhash64(F.lit(seed), "sidx", "j").alias("slot"))
-    spans = placed.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("shard", "slot", "offset", "start", "length")).alias("spans"))
+    # an offset belongs to one document: copies of a row are not gathered into one list
+    spans = placed.groupBy("_k1", "_k2", "offset").agg(F.collect_list(F.struct("shard", "slot", "start", "length")).alias("spans"))
     texts = keyed.dropDuplicates(["_k1", "_k2"]).join(spans.hint("merge"), ["_k1", "_k2"])
     cut = let(split_words("_row.text"), lambda p: F.transform("spans", lambda s: F.struct(s["shard"].alias("shard"), s["slot"].alias("slot"), s["start"].alias("start"), F.array_join(F.slice(p, (s["start"] + 1).cast("int"), s["length"].cast("int")), "").alias("text"))))
     out = texts.select("_row.doc_id", "_row.source", F.explode(cut).alias("_piece"))
