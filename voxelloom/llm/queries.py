@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxelloom.llm import binpack, langid, license_scan, mixing, mtree, packing, pii, pqdedup, simhash, token_files
 from voxelloom.session import ship
@@ -54,12 +55,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.count_documents(table(spark, sf_dir, "documents"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1 that SQL can express: sizes and targets."""
+    return op1_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_pii_skip_chain, op3_mtree_top_k, op4_pq_dedup, op5_license_scan, op6_pack_windows, op7_language_id, op8_binary_rows, op9_simhash_dedup, op10_token_counts)
+    for f in (op1_mix_sources, op2_pii_skip_chain, op3_mtree_top_k, op4_pq_dedup, op5_license_scan, op6_pack_windows, op7_language_id, op8_binary_rows, op9_simhash_dedup, op10_token_counts, mix_targets)
 }
 
 ORACLES: dict[str, str] = {
+    "mix_targets": r"""
+        WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS cap,
+                     [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
+        full_at AS (SELECT cap / w AS level FROM s),
+        held AS (SELECT level, (SELECT sum(least(cap, w * level)) FROM s) AS used FROM full_at),
+        base AS (SELECT coalesce(max(level), 0) AS level FROM held WHERE used <= 1.5 * (SELECT sum(source_size) FROM s)),
+        water AS (SELECT (1.5 * sum(source_size) - coalesce(sum(cap) FILTER (cap / w <= level), 0)) / sum(w) FILTER (cap / w > level) AS level FROM s, base)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(least(cap, w * water.level), 3) AS target
+        FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, water""",
     "op3_mtree_top_k": """
         WITH p AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)) AS v
                    FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
