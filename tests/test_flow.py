@@ -81,7 +81,7 @@ def test_plan_preprocess_store_and_serve(spark, cases, tmp_path):
         assert any(v > 0 for v in p.target) and len(p.mask) == 48
     assert cut == store.training_patches(stored, (3, 4, 4), draws=3).collect()
     flat = store.training_patches(stored, (4, 4), from_locations=False).first()
-    assert len(flat.image) == 32
+    assert len(flat.image) == 32 and flat.patch_shape == [2, 4, 4] and cut[0].patch_shape == [2, 3, 4, 4]
     side = stored.select("case_id", F.transform("target", lambda v: v / 3).alias("data")).limit(2)
     joined = store.load_cases(spark, path, {"conflict": store.dequantized(store.quantized(side))})
     assert joined.where("conflict is not null").count() == 2
@@ -219,7 +219,7 @@ def test_side_files_and_encoders(spark, tmp_path):
     for ending in rasters.ENCODERS:
         for r in rasters.encode_files(v, ending).collect():
             (tmp_path / r.name).write_bytes(r.content)
-    got = rasters.with_side_spacing(spark, images.read_volumes(spark, str(tmp_path), "*.tif"), str(tmp_path), images=False).first()
+    got = rasters.with_side_spacing(spark, images.read_volumes(spark, str(tmp_path), "*.tif"), str(tmp_path)).first()
     assert got.spacing == [3.0, 2.0, 1.0] and got.shape == [3, 4, 5] and got.data[:7] == list(range(7))
     labels = images.encode_labels(v.withColumn("shape", F.slice("shape", 2, 3)).withColumn("affine", F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 0, 2, 0, 0, 0, 0, 3, 0)]))).first()
     assert images.read_nifti(labels.content)[1] == [3.0, 2.0, 1.0]
@@ -253,11 +253,81 @@ def test_named_readers(spark):
     from voxelloom.sources import scan
 
     files = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
-    assert not scan.checked_reader(files("a.png"), "auto") and not scan.checked_reader(files("a.mha", "b.nii.gz"), "simpleitk")
-    assert scan.checked_reader(files("a.nii"), "nibabel_reorient")
-    for names, reader in ((("a.nii", "b.png"), "nibabel"), (("a.mha",), "simpleitk_reorient"), (("a.png",), "tiff")):
+    assert scan.checked_reader(files("a.png"), "auto") is None and not scan.checked_reader(files("a.mha", "b.nii.gz"), "simpleitk").turns
+    assert scan.checked_reader(files("a.nii"), "nibabel_reorient").turns and scan.checked_reader(files("a.mha"), "simpleitk_reorient").turns
+    for names, reader in ((("a.nii", "b.png"), "nibabel"), (("a.nii",), "simpleitk_reorient"), (("a.png",), "tiff")):
         with pytest.raises(ValueError):
             scan.checked_reader(files(*names), reader)
+    asked = {"overwrite_image_reader_writer": "NibabelIOWithReorient", "file_ending": ".nii.gz"}
+    assert scan.checked_reader(files("a.nii"), "auto", asked).name == "nibabel_reorient"
+    assert scan.checked_reader(files("a.nii"), "nibabel", asked).name == "nibabel"
+
+
+def test_readers_by_ending_example_and_description():
+    from voxelloom.sources import rasters, readers
+
+    volume = rng.integers(0, 9, (3, 4, 5)).astype(np.uint8)
+    assert [readers.by_ending(e).name for e in (".nii.gz", ".nii", ".TIF", ".tiff", ".png")] == ["simpleitk", "nibabel", "natural_2d", "tiff3d", "natural_2d"]
+    assert readers.by_ending(".tif", ("a.tif", rasters.write_tiff(volume))).name == "tiff3d"
+    assert readers.by_ending(".tif", ("a.tif", rasters.write_tiff(volume[:1]))).name == "natural_2d"
+    assert readers.by_ending(".xyz", ("a.mha", rasters.write_meta(volume, [1.0, 1.0, 1.0])), nonmatching=True).name == "simpleitk"
+    for wrong in ((".xyz",), (".tif", ("a.tif", b"nothing"))):
+        with pytest.raises(ValueError):
+            readers.by_ending(*wrong)
+    assert readers.by_description({"overwrite_image_reader_writer": "Tiff3DIO", "file_ending": ".png"}).name == "tiff3d"
+    assert readers.by_description({"overwrite_image_reader_writer": "None", "file_ending": ".nii"}).name == "nibabel"
+    assert readers.by_description({"overwrite_image_reader_writer": "OtherIO", "file_ending": ".png"}).name == "natural_2d"
+
+
+def test_own_reader_and_statistics_of_files(spark, tmp_path):
+    from voxelloom.sources import readers
+
+    values = {}
+    for k in range(3):
+        values[f"case_{k:04d}"] = v = rng.normal(size=(3, 4, 5)).astype(np.float32)
+        v[0] = 0
+        (tmp_path / f"case_{k:04d}_0000.raw32").write_bytes(v.tobytes())
+    (tmp_path / "dataset.json").write_text('{"channel_names": {"0": "CT"}}')
+    own = readers.Reader("raw32", (".raw32",), lambda name, raw: (np.frombuffer(raw, "<f4").reshape(3, 4, 5), [3.0, 1.0, 1.0], [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 3, 0]))
+    cases = scan.load_cases(spark, str(tmp_path), reader=own)
+    assert {r.case_id: r.image for r in cases.collect()} == {k: v.ravel().tolist() for k, v in values.items()}
+    inside = np.concatenate([v[1:].ravel() for v in values.values()]).astype(float)
+    got = pipeline.file_statistics(spark, str(tmp_path), reader=own, clip=(-1.0, None))["0"]
+    want = np.clip(inside, -1, None)
+    assert np.allclose([got[k] for k in ("mean", "std", "min", "median", "percentile_99_5")], [want.mean(), want.std(), -1, *np.percentile(want, [50, 99.5])]) and got["clip_min"] == -1
+    for r in pipeline.case_statistics(cases).collect():
+        v = values[r.case_id][1:].astype(float)
+        assert np.allclose([r["mean"], r["std"], r["max"], r["median"]], [v.mean(), v.std(), v.max(), np.median(v)])
+    with pytest.raises(ValueError):
+        readers.register(readers.Reader("nibabel", (".x",), own.read))
+    assert scan.dataset_description(spark, None, str(tmp_path / "below")) == {"channel_names": {"0": "CT"}}
+    (tmp_path / "sub").mkdir()
+    assert scan.dataset_description(spark, str(tmp_path / "sub" / "deep")) is None
+
+
+def test_spacing_of_masks_must_agree(spark, cases):
+    masks = cases.select("case_id", F.concat(F.array(F.lit(1)), F.slice("shape", 2, 3)).alias("shape"), "spacing", F.col("reference").alias("image"))
+    plain = cases.drop("reference", "ref_channels")
+    assert scan.matched(plain, masks, "mask", same_spacing=True).select("mask").count() == 6
+    other = masks.withColumn("spacing", F.array(*[F.lit(v) for v in (2.0, 1.0, 1.5)]))
+    assert len(scan.matched(plain, other, "mask").select("mask").collect()) == 6
+    with pytest.raises(Exception, match="spacings differ"):
+        scan.matched(plain, other, "mask", same_spacing=True).select("mask").collect()
+
+
+def test_manifests_that_do_not_agree_are_refused(spark, tmp_path):
+    ids = spark.createDataFrame([(f"c{k}",) for k in range(5)], "identifier string")
+    row = manifest.manifest(ids, "segmentation", "train", patch="2x3x3")
+    wrong = {
+        "version": ("format_version", F.lit(2)), "task": ("task_mode", F.lit("other")), "kind": ("dataset_kind", F.lit("unpaired_domains")), "storage": ("storage_format", F.lit("tape")),
+        "patch": ("default_patch_size", F.lit("2x-3")), "configuration": ("default_configuration", F.lit("3d")), "again": ("identifiers", F.array(F.lit("c0"), F.lit("c0"))), "none": ("identifiers", F.lit(None).cast("array<string>")),
+    }
+    manifest.save_manifest(row, str(tmp_path / "right"))
+    assert manifest.load_any(spark, str(tmp_path / "right")).count() == 1
+    for name, (field, value) in wrong.items():
+        manifest.save_manifest(row.withColumn(field, value), str(tmp_path / name))
+        with pytest.raises(ValueError):
+            manifest.load_manifest(spark, str(tmp_path / name))
 
 
 def test_grids_by_kernel_and_by_expression_agree(spark):

@@ -1,3 +1,6 @@
+import gzip
+import struct
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -5,7 +8,7 @@ from hypothesis import strategies as st
 
 from voxelloom.operators import case, masks, resample
 from voxelloom.plans.planner import Config, Resampling
-from voxelloom.sources import images, rasters
+from voxelloom.sources import images, orientation, rasters
 
 rng = np.random.default_rng(0)
 
@@ -148,3 +151,62 @@ def test_file_formats_round_trip():
     for name in ("a.nii", "a.nrrd", "a.png", "a.tif", "a.bmp", "a.xyz"):
         with pytest.raises(Exception):
             images.decode(name, b"nothing at all" * 40)
+
+
+def affine_of(order, signs, spacing, origin, angle=0.0):
+    """x, y, z spacings; data axis k runs along world axis order[k]."""
+    c, s = np.cos(angle), np.sin(angle)
+    cols = np.zeros((3, 3))
+    for k, (w, sign) in enumerate(zip(order, signs, strict=True)):
+        cols[w, k] = sign * spacing[k]
+    return np.concatenate([np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]) @ cols, np.array(origin)[:, None]], axis=1)
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1), (1, 0, 2), (2, 1, 0)])
+@pytest.mark.parametrize("signs", [(1, 1, 1), (-1, 1, -1), (-1, -1, 1)])
+@pytest.mark.parametrize("angle", [0.0, 0.4])
+def test_turned_volumes_keep_their_place_and_turn_back(order, signs, angle):
+    rng = np.random.default_rng(3)
+    data, spacing = rng.normal(size=(2, 3, 4, 5)), [3.0, 2.0, 1.0]
+    affine = affine_of(order, signs, spacing[::-1], [7.0, -2.0, 1.0], angle)
+    turned, new_spacing, new = orientation.to_ras(data, spacing, affine.ravel().tolist())
+    new = np.array(new).reshape(3, 4)
+    assert (np.abs(new[:, :3]).argmax(axis=0) == range(3)).all() and (np.diag(new[:, :3]) > 0).all()
+    place = {tuple(np.round(affine[:, :3] @ [x, y, z] + affine[:, 3], 6) + 0.0): data[:, z, y, x].tolist() for z in range(3) for y in range(4) for x in range(5)}
+    nz, ny, nx = turned.shape[1:]
+    got = {tuple(np.round(new[:, :3] @ [x, y, z] + new[:, 3], 6) + 0.0): turned[:, z, y, x].tolist() for z in range(nz) for y in range(ny) for x in range(nx)}
+    assert got == place and np.allclose(np.linalg.norm(new[:, :3], axis=0)[::-1], new_spacing)
+    back, old_spacing = orientation.from_ras(turned, new_spacing, affine.ravel().tolist())
+    assert (back == data).all() and old_spacing == spacing
+
+
+def test_headers_hold_the_place_in_the_world():
+    volume, spacing = np.arange(24, dtype=np.int16).reshape(2, 3, 4), [3.0, 2.0, 1.5]
+    affine = affine_of((0, 2, 1), (-1, 1, 1), spacing[::-1], [4.0, 5.0, -6.0], 0.3).ravel().tolist()
+    for raw, name in ((rasters.write_meta(volume, spacing, affine), "a.mha"), (rasters.write_nrrd(volume, spacing, affine), "a.nrrd"), (images.write_nifti(volume, spacing, affine), "a.nii.gz")):
+        data, got, found = images.decode(name, raw)
+        assert (data == volume).all() and np.allclose(got, spacing) and np.allclose(found, affine, atol=1e-5)
+        turned = images.decode(name, raw, True)
+        assert (orientation.from_ras(turned[0], turned[1], affine)[0] == volume).all()
+    # without directions, axes count towards left and posterior
+    assert images.decode("a.mha", rasters.write_meta(volume, spacing))[2] == [-1.5, 0, 0, 0, 0, -2.0, 0, 0, 0, 0, 3.0, 0]
+    assert (images.decode("a.mha", rasters.write_meta(volume, spacing), True)[0] == volume[:, ::-1, ::-1]).all()
+    space = b"NRRD0004\ntype: short\ndimension: 3\nspace: %s\nsizes: 4 3 2\nspace directions: (1.5,0,0) (0,2,0) (0,0,3)\nspace origin: (1,2,3)\nendian: little\nencoding: raw\n\n" + volume.tobytes()
+    for name, want in ((b"right-anterior-superior", [1.5, 0, 0, 1, 0, 2, 0, 2, 0, 0, 3, 3]), (b"LAS", [-1.5, 0, 0, -1, 0, 2, 0, 2, 0, 0, 3, 3]), (b"left-posterior-superior", [-1.5, 0, 0, -1, 0, -2, 0, -2, 0, 0, 3, 3])):
+        assert images.decode("a.nrrd", space.replace(b"%s", name))[2] == want
+
+
+def test_four_dimensions_are_channels():
+    text = b"ObjectType = Image\nNDims = 4\nDimSize = 4 3 2 5\nElementSpacing = 1 2 3 9\nElementType = MET_SHORT\nElementDataFile = LOCAL\n"
+    data, spacing, affine = images.decode("a.mha", text + np.arange(120, dtype=np.int16).tobytes())
+    assert data.shape == (5, 2, 3, 4) and (data.ravel() == np.arange(120)).all() and spacing == [3.0, 2.0, 1.0] and len(affine) == 12
+
+
+def test_predictions_keep_a_reference_header():
+    reference = bytearray(gzip.decompress(images.write_nifti(np.zeros((2, 3, 4), np.int16), [3.0, 2.0, 1.0], [0, 0, 1, 5, 1, 0, 0, 6, 0, 2, 0, 7])))
+    reference[148:152] = b"note"
+    struct.pack_into("<2f", reference, 112, 3.0, 9.0)  # scaling of the reference's own numbers
+    volume = np.random.default_rng(1).normal(size=(2, 3, 4)).astype(np.float32)
+    raw = images.write_nifti_like(volume, bytes(reference))
+    data, spacing, affine = images.read_nifti(raw)
+    assert (data == volume).all() and spacing == [3.0, 2.0, 1.0] and affine == [0, 0, 1, 5, 1, 0, 0, 6, 0, 2, 0, 7] and gzip.decompress(raw)[148:152] == b"note"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from voxelloom.operators.case import MaskRules, thresholds
 from voxelloom.plans import pipeline, planner
 from voxelloom.session import ship
-from voxelloom.sources import manifest, scan, store
+from voxelloom.sources import manifest, readers, scan, store
 
 TASKS = ("segmentation", "paired_generative", "unpaired_generative", "self_supervised")
 
@@ -47,9 +47,9 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--output-folder", required=True)
     run.add_argument("--images-dir", "--source-dir", "--folder-a", dest="images_dir", required=True, help="images, sources, or domain A")
     run.add_argument("--target-dir", "--label-dir", "--folder-b", dest="target_dir", help="labels, targets, or domain B")
-    run.add_argument("--image-reader", "--source-reader", "--domain-a-reader", dest="image_reader", choices=("auto", *scan.READER_ENDINGS), default="auto")
-    run.add_argument("--target-reader", "--reference-reader", "--domain-b-reader", dest="target_reader", choices=("auto", *scan.READER_ENDINGS), default="auto")
-    run.add_argument("--mask-reader", choices=("auto", *scan.READER_ENDINGS), default="auto")
+    run.add_argument("--image-reader", "--source-reader", "--domain-a-reader", dest="image_reader", choices=("auto", *readers.READERS), default="auto")
+    run.add_argument("--target-reader", "--reference-reader", "--domain-b-reader", dest="target_reader", choices=("auto", *readers.READERS), default="auto")
+    run.add_argument("--mask-reader", choices=("auto", *readers.READERS), default="auto")
     run.add_argument("--num-processes", type=int, help="taken for compatibility: the session's cores do the work")
     run.add_argument("--masking-mode", choices=("threshold",), help="taken for compatibility: masks come from thresholds where no folder is given")
     run.add_argument("--multi-image", action="store_true")
@@ -87,14 +87,18 @@ def given_config(args: argparse.Namespace, side: str = "") -> planner.Config | N
         return planner.config_from_json(f.read(), name)
 
 
-def configured(args: argparse.Namespace, cases: DataFrame, side: str = "") -> tuple[planner.Config, dict[str, dict]]:
+def description(spark: SparkSession, args: argparse.Namespace, *folders: str | None) -> dict | None:
+    """The data set's description: the file given, else one in or above the folders."""
+    if not args.dataset_json:
+        return scan.dataset_description(spark, *folders)
+    with open(args.dataset_json) as f:
+        return json.load(f)
+
+
+def configured(args: argparse.Namespace, cases: DataFrame, side: str = "", dataset: dict | None = None) -> tuple[planner.Config, dict[str, dict]]:
     clip = (args.ct_clip_min, args.ct_clip_max)
     if (clip[0] is None) != (clip[1] is None) or (None not in clip and clip[0] >= clip[1]):
         raise ValueError("CT clipping needs both bounds, the lower one first")
-    dataset = None
-    if args.dataset_json:
-        with open(args.dataset_json) as f:
-            dataset = json.load(f)
     config, found = given_config(args, side) or given_config(args), {}
     if config is None:
         config, found = pipeline.plan(cases, dataset=dataset, clip=clip)
@@ -107,10 +111,14 @@ def preprocess_dataset(spark: SparkSession, args: argparse.Namespace) -> DataFra
     """Scan, match, plan, preprocess, store; the manifest's row."""
     decoded = f"{args.output_folder.rstrip('/')}/_decoded"
 
-    def load(folder: str, reader: str, multi: bool = args.multi_image) -> DataFrame:
+    unpaired = args.task_mode == "unpaired_generative" and args.target_dir
+    dataset = description(spark, args, args.images_dir, None if unpaired else args.target_dir)
+    other_set = description(spark, args, args.target_dir) if unpaired else dataset
+
+    def load(folder: str, reader: str, multi: bool = args.multi_image, dataset: dict | None = dataset) -> DataFrame:
         """Cases of a folder, decoded once: planning and preprocessing read them from Parquet."""
         path = f"{decoded}/{uuid.uuid4().hex}"
-        scan.load_cases(spark, folder, multi=multi, to_ras=args.reorient, reader=reader).write.option("compression", "zstd").parquet(path)
+        scan.load_cases(spark, folder, multi=multi, to_ras=args.reorient, reader=reader, dataset=dataset).write.option("compression", "zstd").parquet(path)
         return spark.read.parquet(path)
 
     own = {side: getattr(args, f"{name}_mask_threshold") for side, name in (("image", "images"), ("target", "target")) if hasattr(args, f"{name}_mask_threshold")}
@@ -118,14 +126,14 @@ def preprocess_dataset(spark: SparkSession, args: argparse.Namespace) -> DataFra
     rules = MaskRules(level["image"], level["target"], args.mask_fill_holes, args.mask_keep_largest_component, args.mask_closing_iters)
     keep = store.should_save_mask(args.task_mode, args.run_stage, args.save_mask)
     images, folder = load(args.images_dir, args.image_reader), args.output_folder.rstrip("/")
-    if args.task_mode == "unpaired_generative" and args.target_dir:
-        other = load(args.target_dir, args.target_reader)
-        (config_a, a), (config_b, b) = configured(args, images, "_a"), configured(args, other, "_b")
+    if unpaired:
+        other = load(args.target_dir, args.target_reader, dataset=other_set)
+        (config_a, a), (config_b, b) = configured(args, images, "_a", dataset), configured(args, other, "_b", other_set)
         for cases, config, name in ((images, config_a, args.folder_a_name), (other, config_b, args.folder_b_name)):
             store.save_cases(pipeline.preprocess(cases, config, task=args.task_mode, stage=args.run_stage, rules=rules), f"{folder}/{name}", save_mask=keep)
         found, config = planner.merge_configurations(a, b), config_a
     else:
-        given = [scan.matched(images, load(m, args.mask_reader, False), "mask").select("case_id", F.transform("mask", lambda v: v != 0).alias("mask")) for m in (args.images_mask_dir, args.target_mask_dir) if m]
+        given = [scan.matched(images, load(m, args.mask_reader, False), "mask", same_spacing=True).select("case_id", F.transform("mask", lambda v: v != 0).alias("mask")) for m in (args.images_mask_dir, args.target_mask_dir) if m]
         if args.target_mask_dir and not args.target_dir:
             raise ValueError("--target-mask-dir needs --target-dir")
         if len(given) == 2:
@@ -134,8 +142,8 @@ def preprocess_dataset(spark: SparkSession, args: argparse.Namespace) -> DataFra
         for masks in given:
             images = images.join(masks, "case_id")
         if args.target_dir:
-            images = scan.matched(images, load(args.target_dir, args.target_reader))
-        config, found = configured(args, images)
+            images = scan.matched(images, load(args.target_dir, args.target_reader), same_spacing=args.task_mode == "paired_generative")
+        config, found = configured(args, images, dataset=dataset)
         store.save_cases(pipeline.preprocess(images, config, task=args.task_mode, stage=args.run_stage, rules=rules), f"{folder}/cases", save_mask=keep)
     row = save_dataset(spark, folder, args, config, found)
     drop = spark._jvm.org.apache.hadoop.fs.Path(decoded)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ EPS = 1e-8
 SCHEMES = {"ct": "CTNormalization", "zscore": "ZScoreNormalization", "nonorm": "NoNormalization", "rescale_to_0_1": "RescaleTo01Normalization", "rgb_to_0_1": "RGBTo01Normalization"}
 
 
+def endings(of: tuple[str, ...]) -> str:
+    """A pattern like ENDINGS for other endings."""
+    return rf"(?i)({'|'.join(map(re.escape, of))})$"
+
+
 def dbl(x: float) -> Column:
     return F.lit(float(x)).cast("double")
 

@@ -133,6 +133,25 @@ def inverse_normalize(channel: np.ndarray, scheme: str, stats: dict | None) -> n
     raise ValueError(f"{scheme} has no inverse")
 
 
+def nonzero_mask(image: np.ndarray) -> np.ndarray:
+    """Voxels that are not 0 in some channel, holes filled."""
+    return fill_holes(image.astype(bool).any(axis=0))
+
+
+def intensity_properties(image: np.ndarray, nonzero: bool = True, lo: float | None = None, hi: float | None = None) -> list[dict[str, float]]:
+    """Statistics of each channel over the nonzero mask, or over all voxels where that is empty; bounds clip first."""
+    mask = nonzero_mask(image) if nonzero else np.ones(image.shape[1:], bool)
+    if not mask.any():
+        mask[:] = True
+    out = []
+    for channel in image:
+        v = channel[mask].astype(np.float64)
+        v = v if lo is None and hi is None else np.clip(v, lo, hi)
+        low, median, high = np.percentile(v, [0.5, 50, 99.5])
+        out.append({"mean": v.mean(), "std": v.std(), "min": v.min(), "max": v.max(), "median": median, "percentile_00_5": low, "percentile_99_5": high})
+    return out
+
+
 @dataclass
 class MaskRules:
     """Where patches may lie: external masks and thresholds are united, then cleaned."""
@@ -217,7 +236,7 @@ def run_case(image: np.ndarray, spacing: list[float], config: Config, *, task: s
     if settings.normalize:
         inside = None
         if any(config.use_mask):
-            inside = fill_holes((np.concatenate([image, target]) if paired else image).astype(bool).any(axis=0))
+            inside = nonzero_mask(np.concatenate([image, target]) if paired else image)
         norm = lambda a: np.stack([normalize(c, s, config.stats.get(str(k)), inside if u else None) for k, (c, s, u) in enumerate(zip(a, config.schemes, config.use_mask, strict=True))]).astype(np.float32)
         out, target = norm(image), norm(target) if paired else target
     after = list(spacing)

@@ -11,8 +11,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxelloom.functions import columns as C
 from voxelloom.functions.columns import dbl
@@ -52,6 +53,49 @@ def fingerprint(cases: DataFrame, *, inside: str = "all", names: list[str] | Non
     return {str(r.channel): {"mean": r["mean"], "std": r["std"], "min": r["min"], "max": r["max"], "median": q[r.channel][0], "percentile_00_5": q[r.channel][1], "percentile_99_5": q[r.channel][2], "clip_min": clip[0], "clip_max": clip[1]} for r in moments}
 
 
+def with_nonzero_mask(cases: DataFrame) -> DataFrame:
+    """The cases with a mask: voxels that are not 0 in some channel, holes filled."""
+    names = [c for c in cases.columns if c != "mask"]
+    out = T.StructType([*cases.select(names).schema, T.StructField("mask", T.ArrayType(T.BooleanType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(mask=[kernels.nonzero_mask(_array(image, list(map(int, shape)), np.float32)).ravel() for image, shape in zip(pdf["image"], pdf["shape"], strict=True)])
+
+    return cases.select(names).mapInPandas(run, out)
+
+
+def pooled_statistics(cases: DataFrame, *, nonzero: bool = True, clip: tuple[float | None, float | None] = (None, None)) -> dict[str, dict]:
+    """`fingerprint` of the voxels in the nonzero mask (all of a case where it is empty), every channel clipped."""
+    cases = with_nonzero_mask(cases) if nonzero else cases
+    lo, hi = (dbl(float(k) if k is not None else sign * float("inf")) for k, sign in zip(clip, (-1, 1), strict=True))
+    if clip != (None, None):
+        cases = cases.withColumn("image", F.transform("image", lambda v: F.greatest(F.least(v.cast("double"), hi), lo)))
+    found = fingerprint(cases, inside="mask" if nonzero else "all")
+    if not found:
+        raise ValueError("there are no cases to describe")
+    return {k: {**v, "clip_min": clip[0], "clip_max": clip[1]} for k, v in found.items()}
+
+
+def case_statistics(cases: DataFrame, *, nonzero: bool = True, clip: tuple[float | None, float | None] = (None, None)) -> DataFrame:
+    """(case_id, channel, mean, std, min, max, median, percentile_00_5, percentile_99_5): each image for itself."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                rows = kernels.intensity_properties(_array(r.image, list(map(int, r.shape)), np.float32), nonzero, *clip)
+                yield pd.DataFrame([{"case_id": r.case_id, "channel": c, **stats} for c, stats in enumerate(rows)])
+
+    return cases.select(F.col("case_id").cast("string"), "shape", "image").mapInPandas(run, "case_id string, channel int, mean double, std double, min double, max double, median double, percentile_00_5 double, percentile_99_5 double")
+
+
+def file_statistics(spark: SparkSession, folder: str, *, nonzero: bool = True, clip: tuple[float | None, float | None] = (None, None), **reading) -> dict[str, dict]:
+    """`pooled_statistics` of the image files in a folder; `reading` goes to `scan.load_cases`, a reader of one's own included."""
+    from voxelloom.sources import scan
+
+    return pooled_statistics(scan.load_cases(spark, folder, **reading), nonzero=nonzero, clip=clip)
+
+
 def plan(cases: DataFrame, *, dataset: dict | None = None, clip: tuple[float | None, float | None] = (None, None), target_spacing: list[float] | None = None, inside: str | None = None) -> tuple[planner.Config, dict[str, dict]]:
     """A configuration and its patch plans from the cases alone."""
     inside = inside or ("foreground" if "reference" in cases.columns else "all")

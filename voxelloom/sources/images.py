@@ -17,15 +17,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.sources.rasters import read_bmp, read_gipl, read_tiff
+from voxelloom.functions import columns as C
+from voxelloom.sources import orientation
+from voxelloom.sources.rasters import label_type, read_bmp, read_gipl, read_tiff
 
-VOLUME = "path string, shape array<int>, spacing array<double>, affine array<double>, data array<float>"
+VOLUME = "path string, shape array<int>, spacing array<double>, affine array<double>, original_affine array<double>, data array<float>"
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 META_TYPES = {"MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_SHORT": "i2", "MET_USHORT": "u2", "MET_INT": "i4", "MET_UINT": "u4", "MET_FLOAT": "f4", "MET_DOUBLE": "f8"}
 NRRD_TYPES = {"uchar": "u1", "uint8": "u1", "unsigned char": "u1", "int8": "i1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "unsigned short": "u2", "int": "i4", "int32": "i4", "uint32": "u4", "float": "f4", "double": "f8"}
 
 
-def read_nifti(raw: bytes, to_ras: bool = False) -> tuple[np.ndarray, list[float], list[float]]:
+def read_nifti(raw: bytes) -> tuple[np.ndarray, list[float], list[float]]:
     """(array in z, y, x, spacing, affine of 12 numbers)."""
     raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
     end = "<" if struct.unpack("<i", raw[:4])[0] == 348 else ">"
@@ -45,18 +47,6 @@ def read_nifti(raw: bytes, to_ras: bool = False) -> tuple[np.ndarray, list[float
     sform = struct.unpack(end + "h", raw[254:256])[0]
     affine = np.array(struct.unpack(end + "12f", raw[280:328]) if sform else [zooms[1], 0, 0, 0, 0, zooms[2], 0, 0, 0, 0, zooms[3], 0], float).reshape(3, 4)
     spacing = [float(z) for z in zooms[1:4]]
-    if to_ras:  # axes in the order and direction of right, anterior, superior
-        order = [int(np.abs(affine[r, :3] / np.maximum(spacing, 1e-12)).argmax()) for r in range(3)]
-        if sorted(order) != [0, 1, 2]:
-            order = [0, 1, 2]
-        data, spacing, cols = data.transpose(order), [spacing[k] for k in order], affine[:, order].copy()
-        origin = affine[:, 3].copy()
-        for k in range(3):
-            if cols[k, k] < 0:
-                data = np.flip(data, k)
-                origin += cols[:, k] * (data.shape[k] - 1)
-                cols[:, k] *= -1
-        affine = np.concatenate([cols, origin[:, None]], axis=1)
     return np.ascontiguousarray(data.transpose(2, 1, 0)), spacing[::-1], affine.ravel().tolist()
 
 
@@ -78,6 +68,18 @@ def write_nifti(data: np.ndarray, spacing: list[float], affine: list[float] | No
     return gzip.compress(raw, mtime=0) if compress else raw
 
 
+def write_nifti_like(data: np.ndarray, reference: bytes) -> bytes:
+    """data (z, y, x) as 32-bit floats under the header of another NIfTI file: its affines, codes and texts stay."""
+    raw = gzip.decompress(reference) if reference[:2] == b"\x1f\x8b" else reference
+    end = "<" if struct.unpack("<i", raw[:4])[0] == 348 else ">"
+    head = bytearray(raw[:348]) + bytes(4)
+    struct.pack_into(end + "8h", head, 40, 3, *data.shape[::-1], 1, 1, 1, 1)
+    struct.pack_into(end + "2h", head, 70, 16, 32)
+    struct.pack_into(end + "3f", head, 108, 352.0, 1.0, 0.0)
+    head[344:348] = b"n+1\0"
+    return gzip.compress(bytes(head) + data.astype(end + "f4").tobytes(), mtime=0)
+
+
 def read_meta(raw: bytes) -> tuple[np.ndarray, list[float], list[float]]:
     head, pos = {}, 0
     while True:
@@ -93,8 +95,10 @@ def read_meta(raw: bytes) -> tuple[np.ndarray, list[float], list[float]]:
         body = zlib.decompress(body)
     shape = [int(n) for n in head["DimSize"].split()]
     kind = (">" if head.get("BinaryDataByteOrderMSB", "False").lower() == "true" else "<") + META_TYPES[head["ElementType"]]
-    spacing = [float(s) for s in head.get("ElementSpacing", "1 " * len(shape)).split()]
-    return _zyx(np.frombuffer(body, kind, int(np.prod(shape))), shape, spacing)
+    numbers = lambda *keys: next(([float(v) for v in head[k].split()] for k in keys if k in head), None)
+    spacing = numbers("ElementSpacing", "ElementSize") or [1.0] * len(shape)
+    turn = numbers("TransformMatrix", "Orientation", "Rotation")  # one axis after the other
+    return _zyx(np.frombuffer(body, kind, int(np.prod(shape))), shape, spacing, np.array(turn).reshape(len(shape), -1).T if turn else None, numbers("Offset", "Position", "Origin"))
 
 
 def read_nrrd(raw: bytes) -> tuple[np.ndarray, list[float], list[float]]:
@@ -107,23 +111,34 @@ def read_nrrd(raw: bytes) -> tuple[np.ndarray, list[float], list[float]]:
         body = gzip.decompress(body)
     shape = [int(n) for n in head["sizes"].split()]
     kind = (">" if head.get("endian") == "big" else "<") + NRRD_TYPES[head["type"]]
-    if "space directions" in head:
-        spacing = [float(np.linalg.norm([float(x) for x in v.split(",")])) for v in re.findall(r"\(([^)]*)\)", head["space directions"])]
+    vectors = lambda key: np.array([[float(x) for x in v.split(",")] for v in re.findall(r"\(([^)]*)\)", head.get(key, ""))])
+    cols, origin = vectors("space directions").T, vectors("space origin").ravel()
+    signs = np.ones(cols.shape[0] or 3)
+    space = head.get("space", "").lower()
+    if space.startswith(("right", "ra")):  # the other two spaces count towards left
+        signs[0] = -1
+    if "anterior" in space or space in ("ras", "las"):
+        signs[1] = -1
+    if cols.size:
+        spacing = np.linalg.norm(cols, axis=0).tolist()
+        turn = cols * signs[:, None] / np.maximum(np.linalg.norm(cols, axis=0), 1e-12)
     else:
-        spacing = [float(s) for s in head.get("spacings", "1 " * len(shape)).split()]
-    return _zyx(np.frombuffer(body, kind, int(np.prod(shape))), shape, spacing)
+        spacing, turn = [float(s) for s in head.get("spacings", "1 " * len(shape)).split()], None
+    return _zyx(np.frombuffer(body, kind, int(np.prod(shape))), shape, spacing, turn, (origin * signs).tolist() if origin.size else None)
 
 
-def _zyx(flat: np.ndarray, shape: list[int], spacing: list[float]) -> tuple[np.ndarray, list[float], list[float]]:
-    """Two dimensions become one slice, far from others."""
+def _zyx(flat: np.ndarray, shape: list[int], spacing: list[float], turn: np.ndarray | None = None, origin: list[float] | None = None) -> tuple[np.ndarray, list[float], list[float]]:
+    """Two dimensions become one slice, far from others; a fourth one is channels. turn and origin count towards left and posterior."""
     data = flat.reshape(shape[::-1]).astype(np.float32)
-    spacing = [abs(s) for s in spacing[::-1]]
-    if data.ndim == 2:
+    if data.ndim not in (2, 3, 4) or len(spacing) != data.ndim:
+        raise ValueError("only two to four dimensions are read")
+    n = min(data.ndim, 3)
+    affine = orientation.from_lps([abs(s) for s in spacing[:n]], None if turn is None else turn[:n, :n], origin)
+    spacing = [abs(s) for s in spacing[:n][::-1]]
+    if n == 2:
         data, spacing = data[None], [max(spacing) * 999, *spacing]
-    if data.ndim != 3:
-        raise ValueError("only two or three dimensions are read")
-    z, y, x = spacing
-    return data, spacing, [x, 0, 0, 0, 0, y, 0, 0, 0, 0, z, 0]
+        affine[10] = spacing[0]
+    return data, spacing, affine
 
 
 def read_png(raw: bytes) -> tuple[np.ndarray, list[float], list[float]]:
@@ -179,32 +194,61 @@ DECODERS = {".nii.gz": read_nifti, ".nii": read_nifti, ".mha": read_meta, ".nrrd
 def decode(name: str, raw: bytes, to_ras: bool = False) -> tuple[np.ndarray, list[float], list[float]]:
     for ending, reader in DECODERS.items():
         if name.lower().endswith(ending):
-            return reader(raw, to_ras) if to_ras and reader is read_nifti else reader(raw)
+            found = reader(raw)
+            return orientation.to_ras(*found) if to_ras else found
     raise ValueError(f"no reader for {name}")
 
 
-def read_volumes(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False, to_ras: bool = False) -> DataFrame:
-    """VOLUME rows of the image files in a folder; one file is in memory at a time."""
+def read_volumes(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False, to_ras: bool = False, reader=None) -> DataFrame:
+    """VOLUME rows of the image files in a folder, read by ending or by a `readers.Reader`; other files are left out.
+
+    With `to_ras`, or a reader that turns, axes go towards right, anterior and superior.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    read, turn = (reader.read, to_ras or reader.turns) if reader else (decode, to_ras)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                data, spacing, affine = decode(path, raw, to_ras)
-                yield pd.DataFrame({"path": [path], "shape": [list(data.shape)], "spacing": [spacing], "affine": [[float(a) for a in affine]], "data": [data.ravel()]})
+                data, spacing, original = read(path, raw)
+                affine = original
+                if turn:
+                    data, spacing, affine = orientation.to_ras(data, spacing, original)
+                yield pd.DataFrame({"path": [path], "shape": [list(data.shape)], "spacing": [spacing], "affine": [[float(a) for a in affine]], "original_affine": [[float(a) for a in original]], "data": [data.ravel()]})
 
-    return files.select("path", "content").mapInPandas(run, VOLUME)
+    return files.select("path", "content").where(F.lower("path").rlike(C.endings(reader.endings) if reader else C.ENDINGS)).mapInPandas(run, VOLUME)
 
 
 def encode_labels(volumes: DataFrame) -> DataFrame:
-    """(case_id, content): label volumes(case_id, shape, spacing, affine, data) as NIfTI bytes, 8 bits unless a label needs 16."""
+    """(case_id, content): label volumes(case_id, shape, spacing, affine, data) as NIfTI bytes, 8 bits unless a label needs 16.
+
+    Volumes with an original_affine are turned back onto its axes.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                data, spacing, affine = np.asarray(r.data).reshape(list(r.shape)), list(r.spacing), list(r.affine)
+                if r.original_affine is not None:
+                    (data, spacing), affine = orientation.from_ras(data, spacing, list(r.original_affine)), list(r.original_affine)
+                out.append(write_nifti(label_type(data), spacing, affine))
+            yield pd.DataFrame({"case_id": pdf["case_id"], "content": out})
+
+    back = F.col("original_affine") if "original_affine" in volumes.columns else F.lit(None)
+    return volumes.select(F.col("case_id").cast("string"), "shape", "spacing", "affine", "data", back.cast("array<double>").alias("original_affine")).mapInPandas(run, "case_id string, content binary")
+
+
+def encode_like(volumes: DataFrame, references: DataFrame) -> DataFrame:
+    """(case_id, content): the first channel of volumes(case_id, shape, data) under the header of references(case_id, content), NIfTI files."""
+    rows = volumes.select(F.col("case_id").cast("string"), "shape", "data").join(references.select(F.col("case_id").cast("string"), "content"), "case_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                data = np.asarray(r.data).reshape(list(r.shape))
-                out.append(write_nifti(data.astype(np.uint16 if data.max(initial=0) >= 255 else np.uint8), list(r.spacing), list(r.affine)))
+                size = [int(n) for n in r.shape][-3:]
+                out.append(write_nifti_like(np.asarray(r.data)[: int(np.prod(size))].reshape(size), r.content))
             yield pd.DataFrame({"case_id": pdf["case_id"], "content": out})
 
-    return volumes.select(F.col("case_id").cast("string"), "shape", "spacing", "affine", "data").mapInPandas(run, "case_id string, content binary")
+    return rows.mapInPandas(run, "case_id string, content binary")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelloom.plans.planner import REFERENCE_RULE, split_counts
+from voxelloom.sources.store import STORAGE
 
 SPLIT = T.StructType([T.StructField("train", T.ArrayType(T.StringType())), T.StructField("val", T.ArrayType(T.StringType())), T.StructField("val_ratio", T.DoubleType()), T.StructField("split_seed", T.IntegerType())])
 PLANNED = T.MapType(T.StringType(), T.StructType([T.StructField("spacing", T.ArrayType(T.DoubleType())), T.StructField("median_shape", T.ArrayType(T.DoubleType())), T.StructField("patch_size", T.ArrayType(T.IntegerType())), T.StructField("batch_size", T.IntegerType())]))
@@ -45,26 +46,51 @@ def save_manifest(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.json(path)
 
 
-def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest, checked: version, task and stage, ids without repeats, a split that covers them."""
-    m = spark.read.schema(MANIFEST).json(path)
-    first = m.first()
+def checked(m: DataFrame, kind: str = "single_folder") -> DataFrame:
+    """The row, if its fields agree; fields of other types than MANIFEST's came out as nulls and fail likewise."""
+    first = m.drop("identifiers", "splits").first()
     if first is None or first.format_version != 1:
         raise ValueError("not a manifest of version 1")
     if (first.task_mode, first.run_stage) not in REFERENCE_RULE:
         raise ValueError("unknown task or stage")
-    bad = m.select((F.size(F.array_distinct("identifiers")) != F.size("identifiers")).alias("again"), (F.col("splits").isNotNull() & (F.array_sort(F.concat("splits.train", "splits.val")) != F.array_sort("identifiers"))).alias("uncovered")).first()
-    if bad.again or bad.uncovered:
-        raise ValueError("identifiers repeat, or the split does not cover them")
+    if first.dataset_kind != "single_folder" or (kind == "unpaired_domains" and (first.task_mode != "unpaired_generative" or not first.folder)):
+        raise ValueError(f"a manifest of {first.task_mode} has another dataset_kind, or a domain without a folder")
+    if first.storage_format not in STORAGE:
+        raise ValueError(f"storage is one of {STORAGE}")
+    size = first.default_patch_size
+    if size is not None and not all(n.isdigit() and int(n) > 0 for n in size.split("x")):
+        raise ValueError("the patch size must be whole positive numbers")
+    if first.default_configuration is not None and first.default_configuration not in (first.configurations or {}):
+        raise ValueError("the default configuration is not among the configurations")
+    for name, planned in (first.configurations or {}).items():
+        if planned is None or planned.patch_size is None or any(n is None or n < 1 for n in planned.patch_size) or (planned.batch_size or 1) < 1:
+            raise ValueError(f"configuration {name} has no usable patch or batch size")
+    part = F.col("splits").isNotNull()
+    rules = {
+        "again": F.size(F.array_distinct("identifiers")) != F.size("identifiers"),
+        "unsplit": part & (F.col("splits.train").isNull() | F.col("splits.val").isNull()),
+        "uncovered": part & (F.array_sort(F.concat("splits.train", "splits.val")) != F.array_sort("identifiers")),
+    }
+    bad = m.select(F.col("identifiers").isNull().alias("none"), *[F.coalesce(rule, F.lit(False)).alias(name) for name, rule in rules.items()]).first()
+    if any(bad):
+        raise ValueError("identifiers repeat or are missing, or the split does not cover them")
     return m
 
 
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of one folder, checked."""
+    return checked(spark.read.schema(MANIFEST).json(path))
+
+
 def load_any(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest of one folder, checked, or that of two domains: dataset_kind, random_pairing, domains."""
+    """The manifest of one folder, or that of two domains (dataset_kind, random_pairing, domains), checked."""
     kind = spark.read.schema("dataset_kind string").json(path).first()
     if kind is None or kind.dataset_kind != "unpaired_domains":
         return load_manifest(spark, path)
-    return spark.read.schema(f"dataset_kind string, random_pairing boolean, domains struct<a:{MANIFEST.simpleString()},b:{MANIFEST.simpleString()}>").json(path)
+    both = spark.read.schema(f"dataset_kind string, random_pairing boolean, domains struct<a:{MANIFEST.simpleString()},b:{MANIFEST.simpleString()}>").json(path)
+    for name in "ab":
+        checked(both.select(f"domains.{name}.*"), "unpaired_domains")
+    return both
 
 
 def split_cases(cases: DataFrame, m: DataFrame, split: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.functions import columns as C
+from voxelloom.sources import orientation
 
 Decoded = tuple[np.ndarray, list[float], list[float]]
 UNIT = [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0]
@@ -110,7 +111,7 @@ def read_gipl(raw: bytes) -> Decoded:
     x, y, z, _, kind = struct.unpack(">5H", raw[:10])
     spacing = [abs(float(s)) for s in struct.unpack(">3f", raw[10:22])][::-1]
     data = np.frombuffer(raw, ">" + GIPL_TYPES[kind], x * y * max(1, z), 256).reshape(max(1, z), y, x)
-    return data.astype(np.float32), spacing, [spacing[2], 0, 0, 0, 0, spacing[1], 0, 0, 0, 0, spacing[0], 0]
+    return data.astype(np.float32), spacing, orientation.from_lps(spacing[::-1])
 
 
 def write_png(image: np.ndarray) -> bytes:
@@ -121,15 +122,28 @@ def write_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", image.shape[1], image.shape[0], depth, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
-def write_meta(volume: np.ndarray, spacing: list[float]) -> bytes:
+def _words(values) -> str:
+    return " ".join(f"{float(v):.17g}" for v in np.ravel(values))
+
+
+def write_meta(volume: np.ndarray, spacing: list[float], affine: list[float] | None = None) -> bytes:
     kind = {"u1": "MET_UCHAR", "u2": "MET_USHORT", "i2": "MET_SHORT", "f4": "MET_FLOAT", "f8": "MET_DOUBLE"}[volume.dtype.str[1:]]
-    text = f"ObjectType = Image\nNDims = 3\nBinaryData = True\nBinaryDataByteOrderMSB = False\nCompressedData = False\nDimSize = {' '.join(map(str, volume.shape[::-1]))}\nElementSpacing = {' '.join(map(str, spacing[::-1]))}\nElementType = {kind}\nElementDataFile = LOCAL\n"
+    place = ""
+    if affine is not None:
+        turn, origin = orientation.to_lps(affine)
+        place = f"TransformMatrix = {_words(turn.T)}\nOffset = {_words(origin)}\n"
+    text = f"ObjectType = Image\nNDims = 3\nBinaryData = True\nBinaryDataByteOrderMSB = False\nCompressedData = False\n{place}DimSize = {' '.join(map(str, volume.shape[::-1]))}\nElementSpacing = {_words(spacing[::-1])}\nElementType = {kind}\nElementDataFile = LOCAL\n"
     return text.encode() + volume.astype(volume.dtype.newbyteorder("<")).tobytes()
 
 
-def write_nrrd(volume: np.ndarray, spacing: list[float]) -> bytes:
+def write_nrrd(volume: np.ndarray, spacing: list[float], affine: list[float] | None = None) -> bytes:
     kind = {"u1": "uint8", "u2": "uint16", "i2": "int16", "f4": "float", "f8": "double"}[volume.dtype.str[1:]]
-    text = f"NRRD0004\ntype: {kind}\ndimension: 3\nsizes: {' '.join(map(str, volume.shape[::-1]))}\nspacings: {' '.join(map(str, spacing[::-1]))}\nendian: little\nencoding: raw\n\n"
+    place = f"spacings: {_words(spacing[::-1])}\n"
+    if affine is not None:
+        turn, origin = orientation.to_lps(affine)
+        point = lambda v: f"({_words(v).replace(' ', ',')})"
+        place = f"space: left-posterior-superior\nspace directions: {' '.join(point(turn[:, k] * spacing[2 - k]) for k in range(3))}\nspace origin: {point(origin)}\n"
+    text = f"NRRD0004\ntype: {kind}\ndimension: 3\nsizes: {' '.join(map(str, volume.shape[::-1]))}\n{place}endian: little\nencoding: raw\n\n"
     return text.encode() + volume.astype(volume.dtype.newbyteorder("<")).tobytes()
 
 
@@ -139,13 +153,17 @@ def label_type(labels: np.ndarray) -> np.ndarray:
 
 
 ENCODERS = {
-    ".tif": lambda v, s: write_tiff(v), ".tiff": lambda v, s: write_tiff(v), ".mha": write_meta, ".nrrd": write_nrrd,
-    ".png": lambda v, s: write_png(v[0]),
+    ".tif": lambda v, s, a: write_tiff(v), ".tiff": lambda v, s, a: write_tiff(v), ".mha": write_meta, ".nrrd": write_nrrd,
+    ".png": lambda v, s, a: write_png(v[0]),
 }
 
 
 def encode_files(volumes: DataFrame, ending: str) -> DataFrame:
-    """(case_id, name, content) of label volumes(case_id, shape, spacing, data); TIFF files get a side file with the spacing."""
+    """(case_id, name, content) of label volumes(case_id, shape, spacing, data); TIFF files get a side file with the spacing.
+
+    MetaImage and NRRD files are placed in the world where volumes have an affine, and turned back
+    onto the axes of their original_affine where they have one.
+    """
     if ending not in ENCODERS:
         raise ValueError(f"no writer for {ending}")
     encode = ENCODERS[ending]
@@ -154,23 +172,29 @@ def encode_files(volumes: DataFrame, ending: str) -> DataFrame:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                volume = label_type(np.asarray(r.data).reshape([int(n) for n in r.shape][-3:]))
-                rows.append((r.case_id, f"{r.case_id}{ending}", encode(volume, [float(s) for s in r.spacing])))
+                volume, spacing = label_type(np.asarray(r.data).reshape([int(n) for n in r.shape][-3:])), [float(s) for s in r.spacing]
+                affine = None if r.affine is None else list(r.affine)
+                if r.original_affine is not None:
+                    (volume, spacing), affine = orientation.from_ras(volume, spacing, list(r.original_affine)), list(r.original_affine)
+                rows.append((r.case_id, f"{r.case_id}{ending}", encode(volume, spacing, affine)))
                 if ending in (".tif", ".tiff"):
-                    rows.append((r.case_id, f"{r.case_id}.json", json.dumps({"spacing": [float(s) for s in r.spacing]}).encode()))
+                    rows.append((r.case_id, f"{r.case_id}.json", json.dumps({"spacing": spacing}).encode()))
             yield pd.DataFrame(rows, columns=["case_id", "name", "content"])
 
-    return volumes.select(F.col("case_id").cast("string"), "shape", "spacing", "data").mapInPandas(run, "case_id string, name string, content binary")
+    world = [(F.col(c) if c in volumes.columns else F.lit(None)).cast("array<double>").alias(c) for c in ("affine", "original_affine")]
+    return volumes.select(F.col("case_id").cast("string"), "shape", "spacing", "data", *world).mapInPandas(run, "case_id string, name string, content binary")
 
 
-def with_side_spacing(spark: SparkSession, volumes: DataFrame, folder: str, images: bool = True) -> DataFrame:
-    """VOLUME rows of TIFF files with the spacing of their JSON side files, (1, 1, 1) without one.
+def with_side_spacing(spark: SparkSession, volumes: DataFrame, folder: str, recursive: bool = False) -> DataFrame:
+    """VOLUME rows; stacks of TIFF pages take the spacing of their JSON side files, (1, 1, 1) without one.
 
-    A side file is named after the case: image names lose their ending and a channel of five
-    characters, label names their ending alone.
+    A side file is named after the case: a file's name without its ending, or without its channel
+    of five characters too, which goes first.
     """
-    side = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path", F.from_json(F.col("content").cast("string"), "spacing array<double>").alias("s"))
-    side = side.select(F.regexp_replace("path", r"\.json$", "").alias("_stem"), F.col("s.spacing").alias("_spacing"))
-    stem = F.regexp_replace("path", C.ENDINGS, "")
-    rows = volumes.withColumn("_stem", F.substring(stem, F.lit(1), F.length(stem) - 5) if images else stem)
-    return rows.join(side, "_stem", "left").withColumn("spacing", F.coalesce("_spacing", F.array(*[F.lit(1.0)] * 3))).drop("_stem", "_spacing")
+    side = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    side = side.select(F.regexp_replace("path", r"\.json$", "").alias("_stem"), F.from_json(F.col("content").cast("string"), "spacing array<double>").alias("s")).select("_stem", F.col("s.spacing").alias("_spacing"))
+    stem = F.when(F.lower("path").rlike(r"\.tiff?$") & (F.size("shape") == 3), F.regexp_replace("path", C.ENDINGS, ""))
+    rows = volumes.withColumns({"_stem": stem, "_short": F.substring(stem, F.lit(1), F.length(stem) - 5)})
+    short = side.select(F.col("_stem").alias("_short"), F.col("_spacing").alias("_first"))
+    rows = rows.join(side, "_stem", "left").join(short, "_short", "left")
+    return rows.withColumn("spacing", F.coalesce("_first", "_spacing", "spacing")).drop("_stem", "_short", "_spacing", "_first")

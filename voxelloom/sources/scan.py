@@ -2,36 +2,29 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.functions import columns as C
+from voxelloom.sources import images, rasters
+from voxelloom.sources.readers import DESCRIBED, Reader, by_description, named
 
 READERS = {".nii.gz": "sitk", ".nii": "nibabel", ".nrrd": "sitk", ".mha": "sitk", ".gipl": "sitk", ".tiff": "tiff3d", ".tif": "natural2d", ".png": "natural2d", ".bmp": "natural2d"}
 
-#: The readers that a user may name, and the endings that each takes.
-READER_ENDINGS = {
-    "nibabel": (".nii.gz", ".nii"),
-    "nibabel_reorient": (".nii.gz", ".nii"),
-    "simpleitk": (".nii.gz", ".nrrd", ".mha", ".gipl"),
-    "simpleitk_reorient": (".nii.gz", ".nrrd", ".mha", ".gipl"),
-    "tiff3d": (".tif", ".tiff"),
-    "natural_2d": (".png", ".bmp", ".tif"),
-}
-
-
-def checked_reader(files: DataFrame, reader: str | None) -> bool:
-    """Whether a named reader turns axes to RAS; a file that it does not take is an error. None and "auto" go by ending."""
-    if reader in (None, "auto"):
-        return False
-    if reader not in READER_ENDINGS:
-        raise ValueError(f"reader is auto or one of {', '.join(READER_ENDINGS)}")
-    turns = reader.endswith("_reorient")
-    takes = [e for e in READER_ENDINGS[reader] if not turns or e in (".nii.gz", ".nii")]
-    other = files.where(~C.file_ending(F.col("name")).isin(*takes)).first()
-    if other is not None:
-        raise ValueError(f"{reader} does not {'reorient' if turns else 'read'} {other['name']}")
-    return turns
+
+def checked_reader(files: DataFrame, reader: str | Reader | None, dataset: dict | None = None) -> Reader | None:
+    """The reader to use; a file that it does not take is an error. None is by the ending of each file.
+
+    "auto" goes by the data set's description where that names a reader.
+    """
+    found = named(reader)
+    if found is None and dataset and dataset.get("overwrite_image_reader_writer") in DESCRIBED:
+        found = by_description(dataset)
+    if found is not None and (other := files.where(~F.lower("name").rlike(C.endings(found.endings))).first()) is not None:
+        raise ValueError(f"{found.name} does not read {other['name']}")
+    return found
 
 
 def reader_of(ending: Column) -> Column:
@@ -39,10 +32,24 @@ def reader_of(ending: Column) -> Column:
     return F.try_element_at(known, ending)
 
 
-def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+def list_files(spark: SparkSession, folder: str, recursive: bool = False, pattern: str = C.ENDINGS) -> DataFrame:
     """(path, name) of the supported files in a folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path")
-    return files.withColumn("name", F.element_at(F.split("path", "/"), -1)).where(F.col("name").rlike(C.ENDINGS))
+    return files.withColumn("name", F.element_at(F.split("path", "/"), -1)).where(F.col("name").rlike(pattern))
+
+
+def dataset_description(spark: SparkSession, *folders: str | None) -> dict | None:
+    """The first dataset.json of the folders and the folders above them, each folder before the one above."""
+    for folder in filter(None, folders):
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        for above in filter(None, (place, place.getParent())):
+            path = spark._jvm.org.apache.hadoop.fs.Path(above, "dataset.json")
+            if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+                found = json.loads(spark.read.text(path.toString(), wholetext=True).first()[0])
+                if not isinstance(found, dict):
+                    raise ValueError(f"{path.toString()} is not an object")
+                return found
+    return None
 
 
 def channels(files: DataFrame, name: str = "name") -> DataFrame:
@@ -100,20 +107,23 @@ def case_key(name: Column) -> Column:
     return F.coalesce(F.nullif(C.case_of(name), F.lit("")), C.strip_suffix(name))
 
 
-def load_cases(spark: SparkSession, folder: str, *, multi: bool = True, recursive: bool = False, to_ras: bool = False, reader: str | None = None) -> DataFrame:
+def load_cases(spark: SparkSession, folder: str, *, multi: bool = True, recursive: bool = False, to_ras: bool = False, reader: str | Reader | None = None, dataset: dict | None = None) -> DataFrame:
     """(case_id, shape, spacing, image) of a folder, its channel files stacked in order.
 
     Decoding is one map per file; one shuffle by case brings the channels together. Channels
     that are not 0 to n - 1, or differ in grid, are errors, as is a file that a named reader does not take.
     """
-    from voxelloom.sources.images import read_volumes
-
-    files = list_files(spark, folder, recursive)
-    bad = (contiguity_errors if multi else single_errors)(files).first()
+    own = named(reader)
+    pattern = C.endings(own.endings) if own and reader == own else C.ENDINGS  # a reader of one's own chooses its files
+    plain = F.regexp_replace("name", pattern, ".nii")
+    files = list_files(spark, folder, recursive, pattern).withColumn("_plain", plain)
+    bad = (contiguity_errors if multi else single_errors)(files, "_plain").first()
     if bad or files.first() is None:
         raise ValueError(f"channels of case {bad.case_id} are not complete" if bad else f"no image files in {folder}")
-    to_ras = checked_reader(files, reader) or to_ras
-    v = read_volumes(spark, folder, "*", recursive, to_ras).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    v = images.read_volumes(spark, folder, "*", recursive, to_ras, checked_reader(files, reader, dataset))
+    if files.where(F.lower("name").rlike(r"\.tiff?$")).first() is not None:
+        v = rasters.with_side_spacing(spark, v, folder, recursive)
+    v = v.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("name", plain)
     rows = v.select(case_key(F.col("name")).alias("case_id"), F.coalesce(F.expr(f"try_cast(nullif({_sql_channel('name')}, '') as int)"), F.lit(0)).alias("channel"), "shape", "spacing", "data")
     parts = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("channel", "shape", "spacing", "data"))).alias("c"))
     first = F.col("c")[0]
@@ -123,12 +133,14 @@ def load_cases(spark: SparkSession, folder: str, *, multi: bool = True, recursiv
     return parts.select("case_id", shape.alias("shape"), first["spacing"].alias("spacing"), image.alias("image"))
 
 
-def matched(images: DataFrame, references: DataFrame, name: str = "reference") -> DataFrame:
-    """Image cases with their references; identifiers that only one side has are an error."""
-    left, right = images.select("case_id"), references.select("case_id")
+def matched(cases: DataFrame, references: DataFrame, name: str = "reference", same_spacing: bool = False) -> DataFrame:
+    """Image cases with their references; identifiers that only one side has are an error, as are other sizes (or spacings)."""
+    left, right = cases.select("case_id"), references.select("case_id")
     if bad := mismatches(left, right, "case_id", "no image", f"no {name}").limit(10).collect():
         raise ValueError("; ".join(f"{b.case_id}: {b.problem}" for b in bad))
-    side = references.select("case_id", F.col("image").alias(name), F.element_at("shape", 1).alias("ref_channels"), F.col("shape").alias("_s"))
-    both = images.join(side, "case_id")
+    side = references.select("case_id", F.col("image").alias(name), F.element_at("shape", 1).alias("ref_channels"), F.col("shape").alias("_s"), F.col("spacing").alias("_spacing"))
+    both = cases.join(side, "case_id")
     fits = F.slice("shape", 2, 3) == F.slice("_s", 2, 3)
-    return both.withColumn(name, F.when(fits, F.col(name)).otherwise(F.raise_error(F.concat(F.lit("shapes differ in case "), "case_id")))).drop("_s")
+    error = lambda what: F.raise_error(F.concat(F.lit(f"{what} differ in case "), "case_id"))
+    near = (F.col("spacing") == F.col("_spacing")) | F.lit(not same_spacing)
+    return both.withColumn(name, F.when(~fits, error("shapes")).when(~near, error("spacings")).otherwise(F.col(name))).drop("_s", "_spacing")

@@ -101,7 +101,8 @@ def training_patches(cases: DataFrame, size: tuple[int, ...] | None, *, draws: i
     """Patches for a trainer: a row per case and draw with image, target, mask and the side tables `also` cut alike.
 
     Starts come from class locations, else mask locations, else anywhere; they are functions of
-    seed, case and draw. Two-dimensional patches are single slices; no size gives whole cases.
+    seed, case and draw. Two-dimensional patches are single slices, whose patch_shape has no axis
+    for them; no size gives whole cases.
     """
     rows = cases.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     return cut_patches(rows, size, seed=seed, from_locations=from_locations, also=also)
@@ -115,7 +116,7 @@ def usable_locations(places: Column) -> Column:
 def cut_patches(rows: DataFrame, size: tuple[int, ...] | None, *, seed: int, from_locations: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
     """`training_patches` of cases that have their `draw` already."""
     if size is None:
-        return rows.select("case_id", "draw", F.array(*[F.lit(0)] * 3).alias("starts"), "image", "target", "mask", *also)
+        return rows.select("case_id", "draw", F.array(*[F.lit(0)] * 3).alias("starts"), F.col("shape").alias("patch_shape"), "image", "target", "mask", *also)
     by_class = usable_locations(F.flatten(F.map_values("class_locations")))
     rows = rows.withColumn("locations", F.coalesce(F.nullif(by_class, F.array().cast("array<array<int>>")), usable_locations(F.col("mask_locations"))))
     usable = F.coalesce(F.size("locations") > 0, F.lit(False)) & F.lit(from_locations)
@@ -124,7 +125,8 @@ def cut_patches(rows: DataFrame, size: tuple[int, ...] | None, *, seed: int, fro
     cut = lambda c, shape: F.when(F.col(c).isNotNull(), patches.cropped(F.col(c), shape, F.col("starts"), size))
     mask = F.transform("mask", lambda m: m.cast("float"))
     side = [cut(c, F.when(F.size(c) == F.size("image"), F.col("shape")).otherwise(plane)).alias(c) for c in also]
-    return placed.select("case_id", "draw", "starts", cut("image", F.col("shape")).alias("image"), cut("target", F.coalesce("target_shape", plane)).alias("target"), F.when(F.col("mask").isNotNull(), F.transform(patches.cropped(mask, plane, F.col("starts"), size), lambda m: m > 0)).alias("mask"), *side)
+    patch_shape = F.concat(F.slice("shape", 1, 1), F.array(*[F.lit(n) for n in size])).alias("patch_shape")
+    return placed.select("case_id", "draw", "starts", patch_shape, cut("image", F.col("shape")).alias("image"), cut("target", F.coalesce("target_shape", plane)).alias("target"), F.when(F.col("mask").isNotNull(), F.transform(patches.cropped(mask, plane, F.col("starts"), size), lambda m: m > 0)).alias("mask"), *side)
 
 
 def pair_domains(a: DataFrame, b: DataFrame, *, random: bool = True, seed: int = 42) -> DataFrame:
