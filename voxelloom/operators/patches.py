@@ -2,8 +2,8 @@
 
 Volume rows are (case_id, shape, data): shape is (c, z, y, x), data the voxels in C order. A patch
 is cut from its row's own array, so no join and no shuffle is needed until predictions meet. Where
-a case gives many patches they are cut by a kernel, one at a time, so a volume is never copied
-once a patch.
+a case gives many patches they are cut by a kernel and leave in frames of a few megabytes, so a
+volume is never copied once a patch.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import Window as W
 
 from voxelloom.functions.columns import dbl, sliding_starts, start_bounds
 
+FRAME_ROWS, FRAME_BYTES = 8192, 4 << 20
+
 
 def spatial(shape: Column) -> Column:
     return F.slice(shape, -3, 3)
@@ -71,15 +73,38 @@ def crop(patches: DataFrame, size: tuple[int, ...]) -> DataFrame:
     return patches.withColumn("data", cropped(F.col("data"), F.col("shape"), F.col("starts"), size))
 
 
+def weight(value: object) -> int:
+    """About the bytes that a value of a result row takes."""
+    if isinstance(value, np.ndarray):
+        return value.nbytes
+    if isinstance(value, dict):
+        return sum(map(weight, value.values()))
+    return 64 * len(value) if isinstance(value, list) else 8
+
+
+def frames(rows: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Result rows in frames of up to FRAME_ROWS rows or about FRAME_BYTES: a frame for each small result costs far more than the result."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(map(weight, row))
+        if size >= FRAME_BYTES or len(held) >= FRAME_ROWS:
+            yield pd.DataFrame(held, columns=names)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=names)
+
+
+def fields(schema: str) -> list[str]:
+    return [part.split()[0] for part in re.sub(r"<[^>]*>", "", schema).split(", ")]
+
+
 def over_rows(df: DataFrame, columns: list[str], kernel: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
-    """One row in, rows out: kernel(*values) in NumPy, one result in memory at a time."""
-    names = [part.split()[0] for part in re.sub(r"<[^>]*>", "", schema).split(", ")]
+    """One row in, rows out: kernel(*values) in NumPy, a frame of results in memory at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(len(batch)):
-                for out in kernel(*batch.iloc[at]):
-                    yield pd.DataFrame([out], columns=names)
+        rows = (out for batch in batches for values in zip(*(batch[c] for c in columns), strict=True) for out in kernel(*values))
+        yield from frames(rows, fields(schema))
 
     return df.select(*columns).mapInPandas(run, schema)
 
@@ -117,7 +142,7 @@ def grid_patches(volumes: DataFrame, size: tuple[int, ...], overlap: float = 0.5
         axes = [axis_starts(n, p, overlap) for n, p in zip(volume.shape[1:], sides, strict=True)]
         for k, starts in enumerate(itertools.product(*axes)):
             patch = cut_out(volume, list(starts), sides)
-            yield case_id, shape, k, list(starts), (patch if model is None else np.asarray(model(patch), np.float32)).ravel()
+            yield case_id, shape, k, list(starts), (patch if model is None else np.array(model(patch), np.float32)).ravel()
 
     kind = volumes.schema["case_id"].dataType.simpleString()
     return over_rows(volumes, ["case_id", "shape", "data"], cut, f"case_id {kind}, shape array<int>, patch int, starts array<int>, data array<float>")
@@ -137,24 +162,32 @@ def merge(predictions: DataFrame, size: tuple[int, ...]) -> DataFrame:
     reach = F.when(hi >= lo, F.sequence(F.floor(lo / pz), F.floor(hi / pz)))
     rows = predictions.select("case_id", "shape", "starts", "data", F.explode(reach).alias("slab"))
 
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = [int(n) for n in pdf["shape"].iloc[0]]
-        low = int(key[1]) * pz
-        total = np.zeros((shape[0], min(low + pz, shape[1]) - low, *shape[2:]))
-        count = np.zeros(total.shape[1:])
-        for starts, data in zip(pdf["starts"], pdf["data"], strict=True):
-            at = [int(s) - before(n, p) for s, n, p in zip(starts, shape[1:], sides, strict=True)]
-            at[0] -= low
-            inside = [(max(a, 0), min(a + p, n)) for a, p, n in zip(at, sides, total.shape[1:], strict=True)]
-            if all(b > a for a, b in inside):
-                here = tuple(slice(a, b) for a, b in inside)
-                there = tuple(slice(a - o, b - o) for (a, b), o in zip(inside, at, strict=True))
-                total[(slice(None), *here)] += np.asarray(data).reshape(-1, *sides)[(slice(None), *there)]
-                count[here] += 1
-        mean = (total / np.maximum(count, 1)).astype(np.float32)
-        return pd.DataFrame({"case_id": [key[0]] * shape[0], "shape": [shape] * shape[0], "c": range(shape[0]), "slab": [key[1]] * shape[0], "part": list(mean.reshape(shape[0], -1))})
-
-    slabs = rows.groupBy("case_id", "slab").applyInPandas(add, f"case_id {kind}, shape array<int>, c int, slab long, part array<float>")
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        each = (row for pdf in batches for row in zip(*(pdf[c] for c in ("case_id", "slab", "shape", "starts", "data")), strict=True))
+        for (case_id, slab), parts in itertools.groupby(each, key=lambda row: row[:2]):
+            total = None
+            for _, _, shape, starts, data in parts:
+                if total is None:
+                    whole = [int(n) for n in shape]
+                    low = int(slab) * pz
+                    total = np.zeros((whole[0], min(low + pz, whole[1]) - low, *whole[2:]))
+                    count = np.zeros(total.shape[1:])
+                at = [int(s) - before(n, p) for s, n, p in zip(starts, whole[1:], sides, strict=True)]
+                at[0] -= low
+                inside = [(max(a, 0), min(a + p, n)) for a, p, n in zip(at, sides, total.shape[1:], strict=True)]
+                if all(b > a for a, b in inside):
+                    here = tuple(slice(a, b) for a, b in inside)
+                    there = tuple(slice(a - o, b - o) for (a, b), o in zip(inside, at, strict=True))
+                    total[(slice(None), *here)] += np.asarray(data).reshape(-1, *sides)[(slice(None), *there)]
+                    count[here] += 1
+            mean = (total / np.maximum(count, 1)).astype(np.float32)
+            for c, channel in enumerate(mean):
+                yield case_id, whole, c, slab, channel.ravel()
+
+    # the rows of a slab follow one another, and slabs leave many to a frame: a group for each would cost far more than its sums
+    schema = f"case_id {kind}, shape array<int>, c int, slab long, part array<float>"
+    near = rows.repartition("case_id", "slab").sortWithinPartitions("case_id", "slab")
+    slabs = near.mapInPandas(lambda batches: frames(add(batches), fields(schema)), schema)
     # a thin patch may leave slabs without any: they are zeros
     whole = slabs.groupBy("case_id").agg(F.first("shape").alias("shape"), F.collect_list(F.struct("c", "slab", "part")).alias("parts"))
 

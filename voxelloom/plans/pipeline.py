@@ -128,12 +128,12 @@ def _array(value, shape, kind) -> np.ndarray | None:
 
 
 def preprocess(cases: DataFrame, config: planner.Config, *, task: str = "segmentation", stage: str = "train", rules: kernels.MaskRules | None = None, settings: kernels.Settings | None = None) -> DataFrame:
-    """DONE rows of case rows; one case is in memory at a time."""
+    """DONE rows of case rows; a frame of cases is in memory at a time."""
     planner.check_request(task, stage, "reference" in cases.columns)
     has = {c: c in cases.columns for c in ("reference", "ref_channels", "mask")}
     wanted = ["case_id", "shape", "spacing", "image", *[c for c, there in has.items() if there]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for pdf in batches:
             for r in pdf.itertuples():
                 shape = list(map(int, r.shape))
@@ -142,12 +142,15 @@ def preprocess(cases: DataFrame, config: planner.Config, *, task: str = "segment
                 mask = _array(r.mask, shape[1:], bool) if has["mask"] else None
                 out = kernels.run_case(_array(r.image, shape, np.float32), list(map(float, r.spacing)), config, task=task, stage=stage, reference=reference, masks=(mask,), rules=rules, settings=settings)
                 flat = lambda a: None if a is None else a.astype(np.float32).ravel()
-                yield pd.DataFrame([{
-                    "case_id": r.case_id, "shape": list(out["image"].shape), "spacing": out["spacing"], "image": flat(out["image"]),
-                    "target_shape": None if out["target"] is None else list(out["target"].shape), "target": flat(out["target"]), "evaluation_reference": flat(out["evaluation_reference"]),
-                    "mask": None if out["mask"] is None else out["mask"].ravel(), "class_locations": {k: v.tolist() for k, v in out["class_locations"].items()},
-                    "mask_locations": out["mask_locations"].tolist(), "shape_before": out["shape_before"], "spacing_before": out["spacing_before"],
-                }])
+                yield (
+                    r.case_id, list(out["image"].shape), out["spacing"], flat(out["image"]),
+                    None if out["target"] is None else list(out["target"].shape), flat(out["target"]), flat(out["evaluation_reference"]),
+                    None if out["mask"] is None else out["mask"].ravel(), {k: v.tolist() for k, v in out["class_locations"].items()},
+                    out["mask_locations"].tolist(), out["shape_before"], out["spacing_before"],
+                )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from patches.frames(made(batches), patches.fields(DONE))
 
     return cases.select(F.col("case_id").cast("string").alias("case_id"), *wanted[1:]).mapInPandas(run, DONE)
 
@@ -169,10 +172,11 @@ def restore(predictions: DataFrame, done: DataFrame, config: planner.Config, set
     settings = settings or kernels.Settings()
     rows = predictions.select("case_id", "shape", "data").join(done.select("case_id", "shape_before", "spacing_before"), "case_id")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def undone(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for pdf in batches:
             for r in pdf.itertuples():
                 out = kernels.undo(_array(r.data, list(r.shape), np.float32), config, list(map(int, r.shape_before)), list(map(float, r.spacing_before)), settings)
-                yield pd.DataFrame([{"case_id": r.case_id, "shape": list(out.shape), "data": out.ravel()}])
+                yield r.case_id, list(out.shape), out.ravel()
 
-    return rows.mapInPandas(run, "case_id string, shape array<int>, data array<float>")
+    schema = "case_id string, shape array<int>, data array<float>"
+    return rows.mapInPandas(lambda batches: patches.frames(undone(batches), patches.fields(schema)), schema)
