@@ -56,3 +56,24 @@ def test_slabs_that_lie_in_several_batches(spark, records):
 def test_large_results_are_split():
     got = list(patches.frames(((k, np.zeros(1 << 18, np.float32)) for k in range(10)), ["k", "data"]))
     assert [len(f) for f in got] == [4, 4, 2] and [k for f in got for k in f["k"]] == list(range(10))
+
+
+def test_patches_leave_many_to_a_frame():
+    rows = pd.DataFrame({"case_id": range(100), "shape": [[1, 4, 4, 4]] * 100, "data": [v.ravel() for v in volumes(100)]})
+    cut = lambda case_id, shape, data: ((case_id, k, data[k : k + 8]) for k in range(27))
+    got = patches.over_rows(Here(rows), ["case_id", "shape", "data"], cut, "case_id long, patch int, data array<float>")
+    assert len(got) == 1 and got[0].columns.tolist() == ["case_id", "patch", "data"] and len(got[0]) == 2700
+
+
+def test_a_model_may_use_its_output_and_input_again(spark):
+    df = spark.createDataFrame([(0, [1, 4, 4, 4], volumes(1)[0].ravel().tolist())], "case_id long, shape array<int>, data array<float>")
+    out = np.zeros((1, 2, 2, 2), np.float32)
+
+    def model(patch):
+        patch *= 2
+        out[:] = patch
+        return out
+
+    got = patches.grid_patches(df, (2, 2, 2), model=model).select("patch", "data").collect()
+    want = patches.grid_patches(df, (2, 2, 2)).select("patch", "data").collect()
+    assert {r.patch: list(r.data) for r in got} == {r.patch: [2 * v for v in r.data] for r in want}

@@ -116,8 +116,10 @@ def before(side: int, patch: int) -> int:
 
 def cut_out(volume: np.ndarray, starts: list[int], sides: tuple[int, int, int]) -> np.ndarray:
     """The patch of a (c, z, y, x) volume; what lies outside is 0."""
-    out = np.zeros((volume.shape[0], *sides), volume.dtype)
     at = [s - before(n, p) for s, n, p in zip(starts, volume.shape[1:], sides, strict=True)]
+    if all(0 <= a <= n - p for a, p, n in zip(at, sides, volume.shape[1:], strict=True)):
+        return volume[(slice(None), *(slice(a, a + p) for a, p in zip(at, sides, strict=True)))].copy()
+    out = np.zeros((volume.shape[0], *sides), volume.dtype)
     inside = [(max(a, 0), min(a + p, n)) for a, p, n in zip(at, sides, volume.shape[1:], strict=True)]
     if all(hi > lo for lo, hi in inside):
         out[(slice(None), *(slice(lo - a, hi - a) for a, (lo, hi) in zip(at, inside, strict=True)))] = volume[(slice(None), *(slice(lo, hi) for lo, hi in inside))]
