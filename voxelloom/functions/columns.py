@@ -50,7 +50,8 @@ def case_of(name: Column) -> Column:
 
 
 def channel_of(name: Column) -> Column:
-    return F.regexp_extract(strip_suffix(name), MULTI, 2).cast("int")
+    """The channel number of a file name, null where the name has none."""
+    return F.nullif(F.regexp_extract(strip_suffix(name), MULTI, 2), F.lit("")).cast("int")
 
 
 def patch_key(shape: Column) -> Column:

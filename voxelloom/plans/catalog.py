@@ -334,7 +334,7 @@ def scan_multi(spark, d):
 def scan_contiguity_errors(spark, d):
     from voxelloom.sources.scan import contiguity_errors
 
-    holes = names(spark, d).distinct().where("not (name like '%0_0001.nii.gz')")
+    holes = names(spark, d).distinct().where(r"not (name rlike r'_\d{3}0_0001\.nii\.gz$')")  # channel 1 of a case; a longer number has no channel
     return contiguity_errors(holes, "name").select("case_id", "n")
 
 

@@ -53,13 +53,14 @@ def dataset_description(spark: SparkSession, *folders: str | None) -> dict | Non
 
 
 def channels(files: DataFrame, name: str = "name") -> DataFrame:
-    return files.withColumns({"case_id": C.case_of(F.col(name)), "channel": C.channel_of(F.col(name))})
+    """files with case_id and channel; a name without a channel number is its own case, its channel null."""
+    return files.withColumns({"case_id": case_key(F.col(name)), "channel": C.channel_of(F.col(name))})
 
 
 def contiguity_errors(files: DataFrame, name: str = "name") -> DataFrame:
-    """Cases whose channels are not exactly 0 to n - 1, each once."""
-    by_case = channels(files, name).groupBy("case_id").agg(F.count("*").alias("n"), F.min("channel").alias("lo"), F.max("channel").alias("hi"), F.countDistinct("channel").alias("k"))
-    return by_case.where(~((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("k") == F.col("n"))))
+    """Cases whose channels are not exactly 0 to n - 1, each once, and files whose names have no channel number."""
+    by_case = channels(files, name).groupBy("case_id", F.isnull("channel").alias("_none")).agg(F.count("*").alias("n"), F.min("channel").alias("lo"), F.max("channel").alias("hi"), F.countDistinct("channel").alias("k"))
+    return by_case.where(F.col("_none") | ~((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("k") == F.col("n")))).drop("_none")
 
 
 def single_errors(files: DataFrame, name: str = "name") -> DataFrame:
@@ -74,8 +75,9 @@ def _sql_channel(name: str) -> str:
 
 
 def scan_cases(files: DataFrame, name: str = "name", path: str = "path") -> DataFrame:
-    """(case_id, paths): the channel files of each case in channel order."""
-    parts = channels(files, name).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("channel", path))).alias("_c"))
+    """(case_id, paths): the channel files of each case in channel order; a name without a channel number is an error."""
+    channel = F.coalesce("channel", F.raise_error(F.concat(F.lit("no channel number, as in case_0001_0000, in the name of "), F.col(name))).cast("int"))
+    parts = channels(files, name).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(channel.alias("channel"), path))).alias("_c"))
     return parts.select("case_id", F.transform("_c", lambda c: c[path]).alias("paths"))
 
 
