@@ -326,8 +326,12 @@ CH = f"ch AS (SELECT DISTINCT regexp_extract({STRIP}, '^(.+_\\d{{4}})_(\\d{{4}})
 
 @query(f"WITH {NAMES}, {CH} SELECT case_id, string_agg(CAST(channel AS VARCHAR), ',' ORDER BY channel) AS channels FROM ch GROUP BY 1")
 def scan_multi(spark, d):
-    ch = names(spark, d).select(C.case_of(F.col("name")).alias("case_id"), C.channel_of(F.col("name")).alias("channel")).distinct()
-    return ch.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("channel")), lambda c: c.cast("string")), ",").alias("channels"))
+    """A name without a channel number is a case of its own, its channels null."""
+    from voxelloom.sources.scan import channels
+
+    ch = channels(names(spark, d)).select("case_id", "channel").distinct()
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("channel")), lambda c: c.cast("string")), ",")
+    return ch.groupBy("case_id", F.isnull("channel").alias("_none")).agg(F.nullif(listed, F.lit("")).alias("channels")).drop("_none")
 
 
 @query(f"WITH {NAMES}, {CH} SELECT case_id, count(*) AS n FROM ch WHERE NOT (channel = 1 AND case_id LIKE '%0') GROUP BY 1 HAVING NOT (min(channel) = 0 AND max(channel) = count(*) - 1)")
